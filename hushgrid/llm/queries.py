@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hushgrid.llm import chat, decontam, packing, tokenio
+from hushgrid.llm import chat, decontam, packing, simhash, substring_dedup, tokenio
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op3_substring_dedup": substring_dedup.op3,
     "op4_chat_formatting": chat.op4,
     "op5_token_binary": tokenio.op5,
+    "op7_simhash_near_dedup": simhash.op7,
     "op9_decontamination": decontam.op9,
 }
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Odd multiplier of the rolling hash of a word sequence.
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 #: A-Z to a-z, all else as it is.
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -79,12 +79,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     while True:
         if k & size:
             part = have[done : done + n]
-            out = part.copy() if out is None else out * power + part
+            out = part.copy() if out is None else out * np.uint64(power) + part
             done += size
         if size * 2 > k:
             return mix(out)
-        have = have[:-size] * power + have[size:]
-        size, power = size * 2, power * power
+        have = have[:-size] * np.uint64(power) + have[size:]
+        size, power = size * 2, power * power % (1 << 64)
 
 
 def window_starts(starts: np.ndarray, k: int) -> np.ndarray:
