@@ -46,17 +46,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, starts = code.batch(as_strings(batch["text"]))
-            doc_ids, rows, kept = batch["doc_id"].to_pylist(), [], []
-            for doc, s, e in zip(doc_ids, starts[:-1], starts[1:], strict=True):
-                own = np.append(ids[s:e], np.uint32(end_id)).astype("<u4")
-                for n, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity]
-                    rows.append((doc, n, at, len(part), binascii.crc32(part.tobytes())))
-                    if with_ids:
-                        kept.append(part.astype(np.int32))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, schema=schema)
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, ids, starts in code.batches(as_strings(batch["text"])):
+                rows, kept = [], []
+                for i, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True), first):
+                    own = np.append(ids[s:e], np.uint32(end_id)).astype("<u4")
+                    for n, at in enumerate(range(0, len(own), capacity)):
+                        part = own[at : at + capacity]
+                        rows.append((doc_ids[i], n, at, len(part), binascii.crc32(part.tobytes())))
+                        if with_ids:
+                            kept.append(part.astype(np.int32))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

@@ -133,10 +133,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, starts = code.batch(as_strings(batch["text"]))
-            for doc, s, e in zip(batch["doc_id"].to_pylist(), starts[:-1], starts[1:], strict=True):
-                if piece := out.add(doc, np.append(ids[s:e], np.uint32(end_id))):
-                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], names=["data"])
+            doc_ids = batch["doc_id"].to_pylist()
+            for at, ids, starts in code.batches(as_strings(batch["text"])):
+                for i, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True), at):
+                    if piece := out.add(doc_ids[i], np.append(ids[s:e], np.uint32(end_id))):
+                        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], names=["data"])
         if piece := out.close_frame():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], names=["data"])
         if out.docs:

@@ -9,14 +9,15 @@ the file, and encodes whole texts where it doesn't hold.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from hushgrid.llm.words import split_words
+from hushgrid.llm.words import slices, split_words
 
-#: Distinct words that a worker keeps the ids of (about 150 bytes each); a full store is emptied.
-KEPT_WORDS = 600_000
+#: Distinct words that a worker keeps the ids of (about 170 bytes each), in two halves: when the younger is full, the older is given up, but for words met again.
+KEPT_WORDS = 700_000
 PROBE = "Two  words,\tÉté déjà vu: it's 42%!\n\nthe end…  áb ́c ﬁn x\u0085y ΑΣ "
 TAIL = ".,;:!?"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -39,7 +40,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kept: dict[str, tuple] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probe = PROBE.split()
         whole, each = self.plain([PROBE])[0], [i for ids in self.plain(probe) for i in ids]
         self.by_word = whole == each
@@ -48,23 +50,43 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[tuple]:
-        """The ids of each word. Words that differ by case of A-Z or final punctuation share an entry where the tokenizer allows."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, 4 bytes each. Words that differ by case of A-Z or final punctuation share an entry where the tokenizer allows."""
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.older, self.kept = self.kept, {}
         kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
         if not self.folds:
-            new = [w for w in words if w not in kept]
-            kept.update(zip(new, map(tuple, self.plain(new)), strict=True))
+            self.learn([w for w in words if w not in kept])
             return [kept[w] for w in words]
-        stems = [w.rstrip(TAIL).translate(LOWER) if w[-1] in TAIL or not w.islower() else w for w in words]
-        # the final run of punctuation is taken off only after a letter or digit: else it is part of a longer run
-        stems = [s if len(s) == len(w) or (s and s[-1].isalnum()) else w.translate(LOWER) for s, w in zip(stems, words, strict=True)]
-        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
-        new = [w for w in dict.fromkeys(stems + tails) if w not in kept]
-        kept.update(zip(new, map(tuple, self.plain(new)), strict=True))
-        kept[""] = ()
-        return [kept[s] + kept[t] if t else kept[s] for s, t in zip(stems, tails, strict=True)]
+        self.learn(["", *TAIL])
+        out: list = list(map(kept.get, words))
+        missed = [i for i, x in enumerate(out) if x is None]
+        stems, tails = [], []
+        for i in missed:
+            w = words[i]
+            s = w.rstrip(TAIL)
+            # the final punctuation is taken off only after a letter or digit: else it is part of a longer run
+            if len(s) != len(w) and not s[-1:].isalnum():
+                s = w
+            stems.append(s.translate(LOWER))
+            tails.append(w[len(s) :])
+        self.learn([w for w in dict.fromkeys(stems + tails) if w not in kept])
+        for i, s, t in zip(missed, stems, tails, strict=True):
+            out[i] = kept[s] + kept[t]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        known = self.older.keys() & words if self.older else ()
+        self.kept.update((w, self.older[w]) for w in known)
+        words = [w for w in words if w not in known] if known else words
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            self.kept.update((w, np.array(ids, dtype="<u4").tobytes()) for w, ids in zip(some, self.plain(some), strict=True))
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """batch() for some texts at a time, with the number of the first; what is held stays bounded by the longest text."""
+        for at, to in slices(texts):
+            yield at, *self.batch(texts.slice(at, to - at))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other as uint32, and where each text's ids start (one more entry than texts)."""
@@ -74,13 +96,14 @@ class Encoder:
             return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(starts[-1])), starts
         coded, starts = split_words(texts)
         ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         index = coded.indices.to_numpy(zero_copy_only=False)
         if not len(index):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(starts), dtype=np.int64)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         each = sizes[index]
         ends = np.concatenate(([0], np.cumsum(each)))
-        at = np.repeat(first[index] - ends[:-1], each) + np.arange(int(ends[-1]))
+        at = np.repeat(first[index] - ends[:-1], each)
+        at += np.arange(int(ends[-1]))
         return flat[at], ends[starts]

@@ -6,6 +6,8 @@ distinct word is handled once a batch, whatever its frequency.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,18 @@ def as_strings(column) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about limit bytes of text; a longer text is a range of its own."""
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield at, to
+        at, done = to, int(ends[to - 1])
+
+
 def lowered(texts: pa.Array) -> pa.Array:
     """A-Z lower-cased, on the bytes of the whole batch at once."""
     wide = pa.types.is_large_string(texts.type)
