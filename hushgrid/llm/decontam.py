@@ -17,7 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgrid.llm.runtime import ready
@@ -29,7 +29,6 @@ BLOCK = 2
 WORDS_A_PASS = 1_000_000
 #: Words are runs of 0-9, a-z and all beyond ASCII, after A-Z are lower-cased.
 TABLE = bytes(b if b >= 128 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -104,18 +103,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items found, for each row of docs; no shuffle. A benchmark of any size: a task holds the tables of one block of it at a time."""
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Column:
+    """For column text of docs a struct of n_words, spans of hit words, and items found; no shuffle. A benchmark of any size: a task holds the tables of one block of it at a time."""
     spark = ready(docs.sparkSession)
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("n_words long, spans array<struct<start:int,end:int>>, items array<long>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = Searcher(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch["text"].to_pylist()
+            texts = batch.to_pylist()
             spans: list[list] = [[] for _ in texts]
             items: list[set] = [set() for _ in texts]
             counts = [0] * len(texts)
@@ -127,22 +125,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     counts[i] = len(w)
                     spans[i] += s
                     items[i] |= found
-            out = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], schema.types[2]), pa.array([sorted(x) for x in items], schema.types[3])]
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
+            out = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], kind[1].type), pa.array([sorted(x) for x in items], kind[2].type)]
+            yield pa.StructArray.from_arrays(out, fields=list(kind))
+
+    return search(F.col("text").cast("string"))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, HITS)
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with _found: n_words, spans, items, n_hit, and the verdict: contaminated if at least a twentieth of the words is hit."""
+    found = docs.withColumn("_found", found_in(docs, benchmark, window))
+    n_hit = F.expr("aggregate(_found.spans, 0L, (a, s) -> a + (s.end - s.start))")
+    found = found.withColumn("_found", F.col("_found").withField("n_hit", n_hit))
+    return found.withColumn("_found", F.col("_found").withField("contaminated", (F.col("_found.n_hit") > 0) & (20 * F.col("_found.n_hit") >= F.col("_found.n_words"))))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """find() with counts and the verdict: contaminated if at least a twentieth of the words is hit."""
-    hit = find(docs, benchmark, window).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + (s.end - s.start))"))
-    return hit.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    """doc_id, n_words, spans, items, n_hit, contaminated and n_items for each row of docs."""
+    return find(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "_found.*").withColumn("n_items", F.size("items").cast("long"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; all columns stay."""
-    bad = report(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return find(docs, benchmark, window).where("not _found.contaminated").drop("_found")
 
 
 def digest(items: list) -> str:

@@ -279,10 +279,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
 def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5, parts: int = PARTS) -> DataFrame:
     """One row of docs of each component, all columns kept: that of the smallest doc_id (then of the smallest hash of its text)."""
     found = classes(cut(fingerprints(docs, shingle)), distance, parts)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    own = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_own"] == kept["_hash"]), "left_semi")
-    return own.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(F.xxhash64("doc_id", "text_hash").alias("_kept")).distinct()
+    # one key of its own, so that repeated rows go without another shuffle of the texts
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,8 +102,8 @@ def _lowest(group, n, columns, _chunks):
     return low[group]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with text cut to the kept words, n_words and n_removed (columns of these names are replaced)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, rejoin: bool = True) -> DataFrame:
+    """docs with text cut to the kept words, n_words and n_removed (columns of these names are replaced). Without rejoin, a text that loses no word stays as it is, white space and null included."""
     spark = ready(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
     dealt, n = _deal(docs)
@@ -140,8 +140,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         before = np.concatenate(([0], np.cumsum(gone)))
         removed = before[c.starts[1:]] - before[c.starts[:-1]]
         kept = []
-        for i, text in enumerate(c.texts.to_pylist()):
-            w = text.encode("utf-8", "surrogatepass").split()
+        for i, text in enumerate(table["text"].to_pylist()):
+            if not (rejoin or removed[i]):
+                kept.append(text)
+                continue
+            w = (text or "").encode("utf-8", "surrogatepass").split()
             if removed[i]:
                 w = compress(w, (~gone[c.starts[i] : c.starts[i + 1]]).tolist())
             kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
