@@ -9,6 +9,11 @@ from __future__ import annotations
 
 import re
 
+try:  # classes by property (such as letters of any script) need it
+    import regex as engine
+except ImportError:
+    engine = re
+
 ASCII = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 NOT_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
@@ -51,7 +56,7 @@ def translate(pattern: str, target: str = "java", fold: bool = False) -> str:
                 out.append("".join(re.escape(x) for x in text))
                 i = end + 2 if end >= 0 else n
                 continue
-            elif e in "pP" and target == "python":
+            elif e in "pP" and target == "python" and engine is re:
                 raise PatternError("character classes by property have no Python form")
             elif e == "x" and pattern[i + 2 : i + 3] == "{":
                 end = pattern.index("}", i)
@@ -110,8 +115,8 @@ def translate(pattern: str, target: str = "java", fold: bool = False) -> str:
     made = (f"(?{flags})" if flags else "") + "".join(out)
     if target == "python":
         try:
-            re.compile(made)
-        except re.error:
+            engine.compile(made)
+        except engine.error:
             raise PatternError("a pattern does not compile") from None
     return made
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgrid.functions import text as T
+from hushgrid.functions.dialect import engine
 from hushgrid.functions.enums import CO_MESSAGE, MESSAGE
 from hushgrid.sources.catalog import AllowRule, Compiled, EntityRule, Literal
 
@@ -78,7 +79,7 @@ class Text:
             for a in self.allow:
                 self._spans += [(s, e, a.id) for lit in a.literals for s, e in self.places(lit)]
                 for p in a.patterns:
-                    found = (m.span() for m in re.finditer(p.python, self.text))
+                    found = (m.span() for m in engine.finditer(p.python, self.text))
                     self._spans += [(s, e, a.id) for s, e in found if not p.whole_word or word_at(self.text, s, e)]
         return self._spans
 
@@ -105,7 +106,7 @@ def in_content(text: Text, rule: EntityRule) -> tuple[int, str, str | None]:
             return at, "literal", None
         cover = cover or by
     for p in rule.patterns:
-        at, by = text.first_open(m.span() for m in re.finditer(p.python, text.text))
+        at, by = text.first_open(m.span() for m in engine.finditer(p.python, text.text))
         if at >= 0:
             return at, "regex", None
         cover = cover or by

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import stat
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +94,29 @@ def read_folder(spark: SparkSession, root: str, cap: int = SIZE_CAP, include_ign
     skipped = spark.createDataFrame(skips, SKIPS)
     if not files:
         return spark.createDataFrame([], UNITS), skipped
-    raw = spark.read.format("binaryFile").load([f"file://{root}/{p}" for p, _ in files])
-    path = F.substring(F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B")), len(f"file:{root}/") + 1, 1 << 20)
-    named = raw.select(path.alias("source_id"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("n_bytes"))
+    seen = [p for p, _ in files if os.path.basename(p)[0] not in "._"]
+    names = spark.createDataFrame([(p,) for p, _ in files if os.path.basename(p)[0] in "._"], "source_id string")
+    named = names.mapInArrow(_reader(root), "source_id string, content string, n_bytes long")
+    if seen:
+        raw = spark.read.format("binaryFile").load([f"file://{root}/{p}" for p in seen])
+        path = F.substring(F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B")), len(f"file:{root}/") + 1, 1 << 20)
+        named = named.unionByName(raw.select(path.alias("source_id"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("n_bytes")))
     return as_file_units(named), skipped
 
 
+def _reader(root: str):
+    """Reads the files that Spark's reader takes for hidden, by their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["source_id"].to_pylist():
+                with open(os.path.join(root, name), "rb") as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_pylist([{"source_id": name, "content": data.decode("utf-8", "replace"), "n_bytes": len(data)}], schema=pa.schema([("source_id", pa.string()), ("content", pa.string()), ("n_bytes", pa.int64())]))
+
+    return run
+
+
 def as_file_units(df: DataFrame, kind: str = "file") -> DataFrame:
     """source_id, content (and n_bytes) as units of a kind."""
     size = F.col("n_bytes") if "n_bytes" in df.columns else F.octet_length("content").cast("long")

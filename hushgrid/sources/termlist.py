@@ -50,7 +50,7 @@ def _body(rest: str) -> tuple[str, str]:
 
 def _compiles(pattern: str, line: int) -> None:
     try:
-        translate(pattern)
+        translate(pattern, "python")
     except (PatternError, ValueError):
         raise TermListError(line, "a pattern does not compile") from None
 
