@@ -24,11 +24,22 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def squeeze(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all bytes of one rank side by side: the upper ones are zeros, which the shuffle's compression takes away."""
+    apart = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return apart.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def send(chunk: int, n: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """Sorted distinct keys and what goes with each, cut up by bucket."""
     edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
     at = np.flatnonzero(np.diff(edges))
-    data = [b"".join(np.ascontiguousarray(c[edges[b] : edges[b + 1]]).tobytes() for c in (keys, *columns)) for b in at]
+    data = [squeeze(keys[edges[b] : edges[b + 1]]) + b"".join(np.ascontiguousarray(c[edges[b] : edges[b + 1]]).tobytes() for c in columns) for b in at]
     return pa.Table.from_arrays([pa.array(np.full(len(at), chunk, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], schema=SENT_ARROW)
 
 
@@ -51,6 +62,8 @@ def reducer(dtypes: list, f: Callable) -> Callable:
         for b in list(held):
             rows = sorted(held.pop(b), key=lambda x: x[0])
             parts = [unpack(d, dtypes) for _, d in rows]
+            for p in parts:
+                p[0] = unsqueeze(p[0].tobytes())
             sizes = np.array([len(p[0]) for p in parts])
             keys = np.concatenate([p[0] for p in parts])
             order = np.argsort(keys, kind="stable")

@@ -63,7 +63,7 @@ class Chunk:
             score[self.at[known] + 1] = np.log(pair[known] / one[self.at[known]])
         missed = ~first
         missed[self.at[known] + 1] = False
-        return np.bincount(self.doc, weights=score, minlength=n_docs), np.bincount(self.doc[missed], minlength=n_docs)
+        return np.bincount(self.doc, weights=score, minlength=n_docs).astype(float), np.bincount(self.doc[missed], minlength=n_docs)
 
 
 def _total(group, n, columns, _chunks):

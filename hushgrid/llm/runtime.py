@@ -10,9 +10,12 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of stored input that one chunk of documents should hold, about.
 CHUNK_BYTES = 12 << 20
+#: What the optimiser says of sources whose size it doesn't know is at least this.
+UNKNOWN = 1 << 60
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,11 +67,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """What the optimiser estimates of df's size; from the files' sizes, with no job."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 60)
+    """Bytes of the files and tables that df reads, as the optimiser knows them; with no job, or, where some size isn't known, by summing up df's texts."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if all(n < UNKNOWN for n in known):
+        return sum(known)
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).collect()[0][0] // 2
 
 
 def chunk_count(df: DataFrame) -> int:
     """Chunks to deal df's rows into: they hold about CHUNK_BYTES each, however large df is."""
-    return max(partitions(df.sparkSession), min(stored_bytes(df) // CHUNK_BYTES, 1 << 20))
+    return max(partitions(df.sparkSession), min(stored_bytes(df) // CHUNK_BYTES, 1 << 24))
