@@ -1,8 +1,8 @@
 """Connected components by contraction, in DataFrame operations only.
 
-Each round every node moves to its smallest neighbour (twice, by a look-up), edges move
-along, and edges within a node go. Components at least halve a round. Only
-nodes that have an edge take part. Each round's tables are written to the shared folder.
+Each round every node moves to its smallest neighbour, and on to where that one moves, until
+it stands still; edges move along, and edges within a node go. Components at least
+halve a round. Only nodes that have an edge take part. Each round's tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")))
-        twice = step.alias("s").join(step.select(F.col("node").alias("_n"), F.col("to").alias("_t")), F.col("to") == F.col("_n")).select("node", F.col("_t").alias("to"))
-        moves = cut(twice)
+        moves = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")))
+        while True:  # until each node knows the end of its way down; the ways halve each time
+            ahead = moves.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+            longer = cut(moves.join(ahead, F.col("to") == F.col("_n")).select("node", "to", F.col("_t").alias("far")))
+            moves = longer.select("node", F.col("far").alias("to"))
+            if longer.where("far <> to").isEmpty():
+                break
         a, b = (moves.select(F.col("node").alias(f"_{x}"), F.col("to").alias(f"_to_{x}")) for x in "ab")
         moved = left.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select(F.greatest("_to_a", "_to_b").alias("a"), F.least("_to_a", "_to_b").alias("b"))
         left = cut(moved.where("a <> b").distinct())
