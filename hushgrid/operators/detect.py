@@ -239,19 +239,23 @@ def detect_native(units: DataFrame, compiled: Compiled) -> DataFrame:
     if compiled.allow:
         raise ValueError("an allowlist asks for detect()")
     units = as_units(units).withColumn("_fold", T.fold(F.col("content"))).withColumn("_segments", F.coalesce(T.segments(_path_of()), F.array().cast("array<string>")))
-    found = []
+    # one column an entity and surface, each computed once in a projection of its own: twice the place, plus one for a pattern
+    places, found = {}, []
     for n, e in enumerate(compiled.entities):
-        tries = [F.struct(_place(F.col("_fold") if x.ignore_case else F.col("content"), x).alias("at"), F.lit("literal").alias("shape")) for x in e.literals]
-        tries += [F.struct(F.regexp_instr("content", F.lit(p.java)).alias("at"), F.lit("regex").alias("shape")) for p in e.patterns]
-        best = F.coalesce(*[F.when(t["at"] > 0, t) for t in tries]) if tries else F.lit(None).cast("struct<at:int,shape:string>")
+        tries = [F.nullif(_place(F.col("_fold") if x.ignore_case else F.col("content"), x), F.lit(0)) * 2 for x in e.literals]
+        tries += [F.nullif(F.regexp_instr("content", F.lit(p.java)), F.lit(0)) * 2 + 1 for p in e.patterns]
+        places[f"_c{n}"] = F.coalesce(*tries) if tries else F.lit(None).cast("int")
         on_path = F.lit(False)
         for x in e.literals:
             on_path = on_path | F.exists("_segments", _segment_test(x))
-        found += [F.struct(F.lit(n).alias("n"), F.lit("path").alias("surface"), F.when(on_path, F.lit(0)).alias("at"), F.lit("path_segment").alias("shape")), F.struct(F.lit(n).alias("n"), F.lit("content").alias("surface"), best["at"].alias("at"), best["shape"].alias("shape"))]
+        places[f"_p{n}"] = on_path
+        at = F.col(f"_c{n}")
+        found += [F.struct(F.lit(n).alias("n"), F.lit("path").alias("surface"), F.when(F.col(f"_p{n}"), F.lit(0)).alias("at"), F.lit("path_segment").alias("shape")), F.struct(F.lit(n).alias("n"), F.lit("content").alias("surface"), F.shiftright(at, 1).alias("at"), F.when(at % 2 == 1, "regex").otherwise("literal").alias("shape"))]
+    units = units.withColumns(places)
     rows = units.withColumn("_m", F.explode(F.filter(F.array(*found), lambda m: m["at"].isNotNull())))
     place = F.col("_m.at")
     rows = rows.withColumns({"n": F.col("_m.n"), "surface": F.col("_m.surface"), "shape": F.col("_m.shape"), "line": F.when(place > 0, T.line_of(F.col("content"), place)).otherwise(F.lit(0).cast("long")), "col": F.when(place > 0, T.column_of(F.col("content"), place)).otherwise(F.lit(0).cast("long"))})
-    return _finding(_with_entity(rows.drop("_m", "_fold", "_segments"), compiled), compiled.threshold).select("unit_id", *FINDING)
+    return _finding(_with_entity(rows.drop("_m", "_fold", "_segments", *places), compiled), compiled.threshold).select("unit_id", *FINDING)
 
 
 def _segment_test(lit: Literal) -> Callable[[Column], Column]:
@@ -260,5 +264,6 @@ def _segment_test(lit: Literal) -> Callable[[Column], Column]:
 
 def _place(text: Column, lit: Literal) -> Column:
     if lit.whole_word:
-        return F.regexp_instr(text, F.lit(f"(?<![{T.LETTER}]){T.java_quote(lit.match)}(?![{T.LETTER}])"))
+        # most texts don't have the word at all: a plain search tells that for much less
+        return F.when(F.contains(text, F.lit(lit.match)), F.regexp_instr(text, F.lit(f"(?<![{T.LETTER}]){T.java_quote(lit.match)}(?![{T.LETTER}])"))).otherwise(0)
     return F.instr(text, lit.match)
