@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushgrid.llm.runtime import ready
-from hushgrid.llm.words import as_strings, slices
+from hushgrid.llm.words import as_strings, slices, tidy
 
 #: Labelled texts of each language in the sample, at most.
 PER_LANG = 2000
@@ -197,6 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def spoken(texts: pa.Array) -> pa.Array:
         own = held.value
         out = [x for s, e in slices(as_strings(texts)) for x in own.predict(texts.slice(s, e - s).to_pylist())]
+        tidy()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), [f.type for f in kind], strict=True)], fields=list(kind))
 
     found = docs.drop("lang_pred", "score", "ambiguous").withColumn("_spoken", spoken(F.col("text").cast("string")))

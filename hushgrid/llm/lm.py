@@ -36,12 +36,14 @@ class Chunk:
     def __init__(self, table: pa.Table):
         self.hashes, self.starts = word_hashes(as_strings(table["text"]))
         self.doc = docs_of(self.starts)
-        ones = mix(self.hashes + np.uint64(1))
+        n = len(self.hashes)
         self.at = np.flatnonzero(window_starts(self.starts, 2))
-        twos = windows(self.hashes, 2)[self.at]
-        self.keys, group, self.counts = np.unique(np.concatenate(([ALL], ones, twos)), return_inverse=True, return_counts=True)
-        self.one, self.two = group[1 : 1 + len(ones)], group[1 + len(ones) :]
-        self.counts[group[0]] += len(ones) - 1
+        found = np.concatenate(([ALL], mix(self.hashes + np.uint64(1)), windows(self.hashes, 2)[self.at]))
+        del self.hashes
+        self.keys, group, self.counts = np.unique(found, return_inverse=True, return_counts=True)
+        del found
+        self.one, self.two = group[1 : 1 + n].astype(np.int32), group[1 + n :].astype(np.int32)
+        self.counts[group[0]] += n - 1
 
     def own(self, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """How often each n-gram occurs in its document."""

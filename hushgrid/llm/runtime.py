@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of stored input that one chunk of documents should hold, about.
 CHUNK_BYTES = 12 << 20
+#: Rows of whole texts that are handed to Python at once, at most: texts are long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: What the optimiser says of sources whose size it doesn't know is at least this.
 UNKNOWN = 1 << 60
 
@@ -38,6 +40,8 @@ def ready(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     ship(spark)
     return spark
 

@@ -13,7 +13,7 @@ share splits as well. Sums are pre-aggregated and narrow: no text is shuffled.
 
 Defined cases: a null or empty text has 0 bytes; a null key is a key; repeated rows are
 rows of their own; a row over the limit alone is a shard of its own, marked oversized; an empty
-table has no shards; extra columns stay with ``shards``.
+table has no shards; extra columns are left out by ``shards`` and kept by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def prefixes(sizes: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFram
 
 
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """docs with shard (its prefix of bits; the one shard of a small table has none), shard_depth, shard_bytes, shard_rows and oversized.
+    """For each row of docs its _key, size, bits and _nth (its number), and shard (its prefix of bits; the one shard of a small table has none), shard_depth, shard_bytes, shard_rows and oversized. Narrow: texts and other columns stay behind.
 
     The row numbers that tell rows of one key apart are written down with the sizes, so
     that a lost executor does not renumber rows.

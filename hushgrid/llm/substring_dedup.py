@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from hushgrid.llm.exchange import SENT, answers, reducer, send
 from hushgrid.llm.runtime import chunk_count, partitions, ready
-from hushgrid.llm.words import as_strings, docs_of, window_starts, windows, word_hashes
+from hushgrid.llm.words import as_strings, docs_of, tidy, window_starts, windows, word_hashes
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max
@@ -148,6 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rejoin: bool = True) -
             if removed[i]:
                 w = compress(w, (~gone[c.starts[i] : c.starts[i + 1]]).tolist())
             kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
+        tidy()
         columns = [pa.array(kept, pa.string()) if x == "text" else table[x] for x in names]
         return pa.Table.from_arrays([*columns, pa.array(np.diff(c.starts), pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 

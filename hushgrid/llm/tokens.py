@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from hushgrid.llm.words import slices, split_words
+from hushgrid.llm.words import slices, split_words, tidy
 
 #: Distinct words that a worker keeps the ids of (about 170 bytes each), in two halves: when the younger is full, the older is given up, but for words met again.
 KEPT_WORDS = 700_000
@@ -87,6 +87,7 @@ class Encoder:
         """batch() for some texts at a time, with the number of the first; what is held stays bounded by the longest text."""
         for at, to in slices(texts):
             yield at, *self.batch(texts.slice(at, to - at))
+        tidy()
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other as uint32, and where each text's ids start (one more entry than texts)."""

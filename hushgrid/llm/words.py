@@ -6,6 +6,7 @@ distinct word is handled once a batch, whatever its frequency.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import xxhash
 
 #: Odd multiplier of the rolling hash of a word sequence.
 BASE = 0x9E3779B97F4A7C15
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: A-Z to a-z, all else as it is.
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -26,6 +28,13 @@ def as_strings(column) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+def tidy() -> None:
+    """Give memory that is free back to the machine: workers live on, and so would their largest hour."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about limit bytes of text; a longer text is a range of its own."""
     if not len(texts):
@@ -67,11 +76,18 @@ def hash_each(words: list[bytes] | list[str], seed: int = 0) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the batch, and where each text's words start."""
-    coded, starts = split_words(texts)
-    h = hash_each(coded.dictionary.to_pylist(), seed)
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    return (h[index] if len(index) else np.zeros(0, dtype=np.uint64)), starts
+    """A 64-bit hash of each word of the texts, and where each text's words start. Texts are split some at a time: what is held beside the hashes stays small."""
+    hashes, starts, done = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
+    for s, e in slices(texts):
+        coded, own = split_words(texts.slice(s, e - s))
+        h = hash_each(coded.dictionary.to_pylist(), seed)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        if len(index):
+            hashes.append(h[index])
+        starts.append(own[1:] + done)
+        done += int(own[-1])
+    tidy()
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
