@@ -258,11 +258,9 @@ def links(fps: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
     return fps.select("fp").mapInArrow(spread, SENT).repartition(partitions(spark), "bucket").mapInArrow(meet, "a long, b long")
 
 
-def classes(found: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
-    """found (fingerprints(), computed) with component_id, the smallest doc_id of its component, and the text_hash that goes with it."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    reps = cut(found.groupBy("fp").agg(first.alias("first")))
-    roots = components(links(reps, k, parts)).select(F.col("node").alias("_n"), "root")
+def grouped(found: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """found with component_id, the smallest doc_id of its component, and the text_hash that goes with it. reps (computed): fp and its first row; edges of fps."""
+    roots = components(edges).select(F.col("node").alias("_n"), "root")
     named = cut(reps.join(roots, F.col("fp") == F.col("_n"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     lowest = named.groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("_c")).where("_c > 1").select(F.col("root").alias("_root"), "low")
     whole = named.join(lowest, F.col("root") == F.col("_root"), "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "first").alias("low"))
@@ -270,19 +268,30 @@ def classes(found: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
     return joined.select("doc_id", "text_hash", "fp", F.col("low.doc_id").alias("component_id"), F.col("low.text_hash").alias("kept_hash"))
 
 
+def classes(found: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
+    """found (fingerprints(), computed) with component_id, the smallest doc_id of its component, and the text_hash that goes with it."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    reps = cut(found.groupBy("fp").agg(first.alias("first")))
+    return grouped(found, reps, links(reps, k, parts))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for each row of docs."""
     found = classes(cut(fingerprints(docs, shingle)), distance, parts)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5, parts: int = PARTS) -> DataFrame:
-    """One row of docs of each component, all columns kept: that of the smallest doc_id (then of the smallest hash of its text)."""
-    found = classes(cut(fingerprints(docs, shingle)), distance, parts)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(F.xxhash64("doc_id", "text_hash").alias("_kept")).distinct()
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found (see grouped()) names as those of their components."""
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(F.xxhash64("doc_id", "text_hash").alias("_kept")).distinct()
     # one key of its own, so that repeated rows go without another shuffle of the texts
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return keyed.join(ids, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5, parts: int = PARTS) -> DataFrame:
+    """One row of docs of each component, all columns kept: that of the smallest doc_id (then of the smallest hash of its text)."""
+    return kept(docs, classes(cut(fingerprints(docs, shingle)), distance, parts))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
