@@ -40,8 +40,8 @@ TABLE = 1 << 16
 ORDERS = (3, 4)
 #: Added to the count of each n-gram.
 SMOOTH = 0.05
-#: Two codewords whose losses differ by less than this share of all are as near as each other.
-NEAR = 0.02
+#: Two codewords whose losses differ by less than this share of the larger one are as near as each other, however many languages there are.
+NEAR = 0.2
 UND = "und"
 #: A-Z lower-cased, other ASCII but a-z a space.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -116,7 +116,7 @@ class Model:
         loss = self.losses(self.margins([texts[i] for i in at]))
         best = loss.argmin(axis=1)
         two = np.sort(loss, axis=1)[:, :2]
-        near = two[:, 1] - two[:, 0] < NEAR * loss.sum(axis=1)
+        near = two[:, 1] - two[:, 0] < NEAR * two[:, 1]
         odds = np.exp(-(loss - two[:, :1]) * self.code.shape[1])
         score = 1 / odds.sum(axis=1)
         for i, b, s, a in zip(at, best, score, near, strict=True):

@@ -1,3 +1,6 @@
+import random
+
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -44,3 +47,16 @@ def test_an_even_mixture_is_ambiguous():
 
 def test_the_sample_is_bounded(docs):
     assert langid.sample(docs, per_lang=3)[1].count() <= 6
+
+
+@pytest.mark.parametrize("k", [20, 60])
+def test_doubt_does_not_grow_with_the_number_of_languages(spark, k):
+    """Clean texts of many languages stay; of two codewords only nearly equal ones are ambiguous."""
+    rng = random.Random(k)
+    syllables = [[rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "n", "s", "r"]) for _ in range(40)] for _ in range(k)]
+    words = [["".join(rng.choice(own) for _ in range(rng.randrange(1, 4))) for _ in range(200)] for own in syllables]
+    rows = [(i * 100 + j, " ".join(rng.choice(own) for _ in range(rng.randrange(20, 80))), f"l{i:02d}") for i, own in enumerate(words) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.identify(spark, docs, "").count() >= 0.98 * len(rows)
+    zeros = langid.Model([str(i) for i in range(k)], langid.codewords(k), [np.zeros((langid.codewords(k).shape[1], langid.TABLE), dtype=np.float32) for _ in langid.ORDERS], np.ones(langid.codewords(k).shape[1]))
+    assert zeros.predict(["anything"])[0][2]
