@@ -7,7 +7,8 @@ pattern ends sooner. Where the shift is 0 the block selects a bucket of patterns
 and these are compared word by word.
 
 Defined cases: a null or empty text has no words and is clean; an item without
-words is no pattern; items that share a window are all reported; repeated rows
+words is no pattern; items that share a window are all reported; an item without an
+id is searched for and its hits count, but it has no name to be listed or counted under; repeated rows
 are reported each; extra columns are dropped. Texts are searched whole.
 """
 
@@ -38,7 +39,7 @@ def words(text: str | None) -> list[bytes]:
 class Searcher:
     """Wu-Manber tables, one set for each length of pattern."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         patterns: dict[int, dict[tuple, set]] = {}
         for item, w in items:
             m = min(window, len(w))
@@ -88,10 +89,10 @@ def _merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return spans
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[bytes]]]]:
     """The items in blocks of a bounded number of words."""
     block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator()
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
     for item, text in rows:
         w = words(text)
         if block and held + len(w) > WORDS_A_PASS:
@@ -125,7 +126,7 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Col
                     counts[i] = len(w)
                     spans[i] += s
                     items[i] |= found
-            out = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], kind[1].type), pa.array([sorted(x) for x in items], kind[2].type)]
+            out = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], kind[1].type), pa.array([sorted(x - {None}) for x in items], kind[2].type)]
             yield pa.StructArray.from_arrays(out, fields=list(kind))
 
     return search(F.col("text").cast("string"))

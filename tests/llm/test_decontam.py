@@ -79,3 +79,13 @@ def test_skips_are_safe_for_all_short_texts():
         spans, found = decontam.Searcher(items, 4).search(text)
         want = {i for i, p in items for m in [min(4, len(p))] for s in range(len(p) - m + 1) if any(text[k : k + m] == p[s : s + m] for k in range(len(text) - m + 1))}
         assert found == want and (not want) == (not spans)
+
+
+def test_items_without_an_id_count(spark, rows):
+    rng = random.Random(13)
+    known, unnamed = words(rng, 20), words(rng, 20)
+    table = spark.createDataFrame([(1, known, "aa", "s", 1), (2, unnamed, "aa", "s", 1), (3, f"{known} {unnamed}", "aa", "s", 1), (4, words(rng, 40), "aa", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(7, known), (None, unnamed), (None, None)], ITEMS)
+    found = {r.doc_id: (r.n_hit, r["items"], r.n_items, r.contaminated) for r in decontam.report(table, bench).collect()}
+    assert found == {1: (20, [7], 1, True), 2: (20, [], 0, True), 3: (40, [7], 1, True), 4: (0, [], 0, False)}
+    assert [r.doc_id for r in decontam.clean(table, bench).collect()] == [4]
