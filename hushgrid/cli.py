@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--mode", choices=MODES)
         x.add_argument("--private-catalog-missing", choices=POSTURES)
         x.add_argument("--allow-skips", action="append", default=[], metavar="REASON=N")
+        x.add_argument("--findings-table", metavar="PATH", help="where findings go, as Parquet, if they are too many for a document")
         x.add_argument("--format", choices=("json", "human"), default="json")
         x.add_argument("--explain-suppressions", action="store_true")
     kinds = scan.add_mutually_exclusive_group()
@@ -107,7 +108,7 @@ def do_scan(args) -> int:
     except ValueError as e:
         raise CatalogError(str(e)) from None
     catalogs, config, warnings = loaded(args)
-    options = {"visibility": C.visibility(args.visibility, config), "threshold": C.threshold(args.mode, config), "mode": args.mode, "allowances": allowances, "warnings": warnings}
+    options = {"visibility": C.visibility(args.visibility, config), "threshold": C.threshold(args.mode, config), "mode": args.mode, "allowances": allowances, "warnings": warnings, "table": args.findings_table}
     spark, skips, folder = session(), None, None
     try:
         if args.git_history_all:
@@ -143,7 +144,7 @@ def do_audit(args) -> int:
     from hushgrid.plans import document, scan
 
     catalogs, config, _ = loaded(args)
-    report = scan.run_audit(session(), args.root, catalogs, args.remote, args.primary, C.visibility(args.visibility, config), C.threshold(args.mode, config), args.names_only, not args.tags_only, not args.branches_only, args.mode, parse_allowances(args.allow_skips))
+    report = scan.run_audit(session(), args.root, catalogs, args.remote, args.primary, C.visibility(args.visibility, config), C.threshold(args.mode, config), args.names_only, not args.tags_only, not args.branches_only, args.mode, parse_allowances(args.allow_skips), args.findings_table)
     sys.stdout.write(document.dumps(report.document))
     for name in report.document["leak_vector_refs"]:
         print(f"warning: {name} would publish what the primary does not", file=sys.stderr)

@@ -37,3 +37,13 @@ def redact(text: Column, aliases: list[tuple[str, str, bool]]) -> Column:
         return pa.array([own(t) for t in texts.to_pylist()], pa.string())
 
     return run(text)
+
+
+def redact_with(text: Column, own: Redactor) -> Column:
+    """The same with a redactor at hand."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([own(t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)

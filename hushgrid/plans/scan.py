@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 
 from hushgrid.operators import attribute, counts, coverage, publish
 from hushgrid.operators.detect import detect
-from hushgrid.operators.redact import Redactor
+from hushgrid.operators.redact import Redactor, redact_with
 from hushgrid.plans import document
 from hushgrid.sources import git
 from hushgrid.sources.catalog import Catalog, CatalogError, Compiled, compile_catalogs, unsafe_ids
 
 OK, BLOCKED, CONFIG, RUNTIME = 0, 1, 2, 3
-#: Findings that a document may hold; more are written as a table (see write_findings).
+#: Findings that a document may hold; more are written as a table (see write_findings), which the document names.
 MOST_IN_DOCUMENT = 100_000
 
 
@@ -52,8 +53,8 @@ def gate(blocked: bool, mode: str | None, status: str) -> int:
     return BLOCKED if blocked or mode == "release" and status == "incomplete" else OK
 
 
-def run_scan(units: DataFrame, skips: DataFrame | None, catalogs: list[Catalog], visibility: str = "public_oss", threshold: str = "high", mode: str | None = None, allowances: dict[str, int] | None = None, skip_unit: str = "file", metadata: dict | None = None, attr: DataFrame | None = None, all_places: DataFrame | None = None, warnings: list[dict] = ()) -> Report:
-    """units and skips of any source. attr (blob, commit, path): findings of blobs go to all their places; all_places: also paths of what was not read."""
+def run_scan(units: DataFrame, skips: DataFrame | None, catalogs: list[Catalog], visibility: str = "public_oss", threshold: str = "high", mode: str | None = None, allowances: dict[str, int] | None = None, skip_unit: str = "file", metadata: dict | None = None, attr: DataFrame | None = None, all_places: DataFrame | None = None, warnings: list[dict] = (), table: str | None = None) -> Report:
+    """table: where findings go if they are too many for a document. units and skips of any source. attr (blob, commit, path): findings of blobs go to all their places; all_places: also paths of what was not read."""
     began = time.time()
     compiled, redactor = prepare(catalogs, visibility, threshold)
     findings, suppressions = detect(units, compiled, keep=("blob",))
@@ -64,18 +65,16 @@ def run_scan(units: DataFrame, skips: DataFrame | None, catalogs: list[Catalog],
         findings = findings.drop("blob")
     findings, suppressions = findings.persist(), suppressions.persist()
     total = totals(findings, suppressions)
-    if total["findings_total"] > MOST_IN_DOCUMENT:
-        raise ValueError("more findings than a document holds: use detect() and write_findings()")
     spark = units.sparkSession
     skips = skips if skips is not None else spark.createDataFrame([], "source_id string, reason string, is_dir boolean, represented long, gap string, coverage_excluded boolean, legacy_excluded boolean, blob string")
     covered = coverage.summarize(skips, skip_unit, allowances)
     scanned = counts.scan_counts(units).collect()[0]
     passed = coverage.file_counts(skips).collect()
-    rows = [r.asDict() for r in counts.numbered(findings).collect()]
+    rows, written = for_document(findings, total["findings_total"], redactor, table)
     suppressed = total.pop("_suppressed")
     blocked = total.pop("_blocked") > 0
     files = scanned.distinct_paths if metadata and metadata.get("scan_root_kind") == "git_diff" else scanned.files_scanned
-    meta = {"duration_ms": int(1000 * (time.time() - began)), "visibility": visibility, "worker_count": spark.sparkContext.defaultParallelism, "files_scanned": files, "bytes_scanned": scanned.bytes_scanned, "files_skipped": sum(r.files for r in passed), "directories_skipped": sum(r.folders for r in passed), "files_skipped_by_reason": {r.reason: r.files for r in passed if r.files}, "allowlist_suppressions": sum(suppressed.values()), "allowlist_suppressions_by_entry": suppressed, "catalogs_loaded": [{"catalog_id": c.id, "load_status": "ok"} for c in catalogs], **(metadata or {})}
+    meta = {"duration_ms": int(1000 * (time.time() - began)), "visibility": visibility, "worker_count": spark.sparkContext.defaultParallelism, "files_scanned": files, "bytes_scanned": scanned.bytes_scanned, "files_skipped": sum(r.files for r in passed), "directories_skipped": sum(r.folders for r in passed), "files_skipped_by_reason": {r.reason: r.files for r in passed if r.files}, "allowlist_suppressions": sum(suppressed.values()), "allowlist_suppressions_by_entry": suppressed, "catalogs_loaded": [{"catalog_id": c.id, "load_status": "ok"} for c in catalogs], **({"findings_table": written} if written else {}), **(metadata or {})}
     findings.unpersist()
     suppressions.unpersist()
     doc = document.scan_document(rows, meta, covered, total, redactor, warnings)
@@ -83,9 +82,23 @@ def run_scan(units: DataFrame, skips: DataFrame | None, catalogs: list[Catalog],
     return Report(doc, gate(blocked, mode, covered["status"]))
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    """Findings of a run of any size, in order and numbered, as Parquet."""
-    counts.numbered(findings).write.parquet(path)
+def for_document(findings: DataFrame, n: int, redactor: Redactor, table: str | None) -> tuple[list[dict], str | None]:
+    """The n findings for a document; or none and the path of the table that holds them all."""
+    if n <= MOST_IN_DOCUMENT:
+        return [r.asDict() for r in counts.numbered(findings).collect()], None
+    path = table or f"hushgrid-findings-{uuid.uuid4().hex}"
+    write_findings(findings, path, redactor)
+    return [], path
+
+
+def write_findings(findings: DataFrame, path: str, redactor: Redactor) -> None:
+    """Findings of a run of any size, redacted and numbered, in the order of a document, as Parquet. Only what a document shows is written."""
+    clean = {c: redact_with(F.col(c), redactor) for c in ("path", "source_id", "git_ref", "message")}
+    kind = F.col("kind") if "kind" in findings.columns else F.lit("detection").alias("kind")
+    names = ("id", "fingerprint", "severity", "confidence", "decision", "entity_id", "entity_class", "detector_id", "rule_id", "source_kind", "surface", "path", "source_id", "line", "col", "git_ref", "surface_kind", "replacement_id", "evidence_shape", "message")
+    rows = counts.numbered(findings).select(kind, *[clean[c].alias(c) if c in clean else F.col(c) for c in names], "rank")
+    order = [F.coalesce(F.col(c), F.lit(0 if c in ("line", "col") else "")) for c in ("git_ref", "path", "surface_kind", "source_id", "surface", "line", "col", "detector_id")]
+    rows.orderBy(*order, "rank").drop("rank").write.parquet(path)
 
 
 def run_history(spark: SparkSession, root: str, catalogs: list[Catalog], **options) -> Report:
@@ -94,7 +107,7 @@ def run_history(spark: SparkSession, root: str, catalogs: list[Catalog], **optio
     return run_scan(units, skips, catalogs, skip_unit="unique_blob", metadata=meta, attr=readable, all_places=git.blob_attr(spark, root), **options)
 
 
-def run_audit(spark: SparkSession, root: str, catalogs: list[Catalog], remote: str | None = None, primary: str | None = None, visibility: str = "public_oss", threshold: str = "high", names_only: bool = False, branches: bool = True, tags: bool = True, mode: str | None = None, allowances: dict[str, int] | None = None) -> Report:
+def run_audit(spark: SparkSession, root: str, catalogs: list[Catalog], remote: str | None = None, primary: str | None = None, visibility: str = "public_oss", threshold: str = "high", names_only: bool = False, branches: bool = True, tags: bool = True, mode: str | None = None, allowances: dict[str, int] | None = None, table: str | None = None) -> Report:
     if names_only and mode == "release":
         raise CatalogError("a release needs contents, not names alone")
     all_refs = git.refs(root, remote)
@@ -120,13 +133,13 @@ def run_audit(spark: SparkSession, root: str, catalogs: list[Catalog], remote: s
     baseline = base in scan and base not in touched
     if scan and not baseline:
         gaps.append("primary_baseline_unscanned")
-    table = spark.createDataFrame([(n, k, n in scan and n not in touched) for n, _, k, _, _ in shown], "name string, kind string, scanned boolean")
+    ref_table = spark.createDataFrame([(n, k, n in scan and n not in touched) for n, _, k, _, _ in shown], "name string, kind string, scanned boolean")
     facts = publish.ref_facts(findings) if findings is not None else spark.createDataFrame([], "ref string, entities array<string>, block_tier boolean, n_findings long")
-    verdicts = publish.evaluate(table, facts, base, baseline, remote=remote or "origin").persist()
+    verdicts = publish.evaluate(ref_table, facts, base, baseline, remote=remote or "origin").persist()
     verdict = publish.surface(verdicts).collect()[0].asDict()
     covered = coverage.summarize(skips, "unique_blob", allowances, gaps)
-    rows = [r.asDict() for r in counts.numbered(findings).collect()] if findings is not None else []
+    rows, written = for_document(findings, findings.count(), redactor, table) if findings is not None else ([], None)
     if mode == "release" and covered["status"] == "incomplete":
         verdict["publish_safe"] = False
-    doc = document.audit_document([r.asDict() for r in verdicts.collect()], verdict, base, covered, rows, redactor)
+    doc = document.audit_document([r.asDict() for r in verdicts.collect()], verdict, base, covered, rows, redactor) | ({"findings_table": written} if written else {})
     return Report(doc, OK if verdict["publish_safe"] else BLOCKED)

@@ -158,3 +158,24 @@ def test_history_and_audit(spark, repo):
     assert not audit["publish_safe"] and audit["leak_vector_refs"] == ["backup/old"] and audit["primary_ref"] == "main"
     names = run_audit(spark, root, [], names_only=True).document
     assert names["leak_vector_refs"] == ["backup/old"] and names["coverage"]["status"] == "incomplete"
+
+
+def test_more_findings_than_a_document_holds(spark, repo, tmp_path, monkeypatch):
+    from hushgrid.plans import scan
+
+    root = repo[0]
+    catalog = load(entities=[{"id": "e-1", "class": "codename", "aliases": ["zorblat"], "severity_override": "high"}, {"id": "e-2", "class": "codename", "aliases": ["c.txt"]}])
+    whole = scan.run_history(spark, root, [catalog])
+    audit = scan.run_audit(spark, root, [catalog])
+    monkeypatch.setattr(scan, "MOST_IN_DOCUMENT", 0)
+    for run, want, name in ((scan.run_history, whole, "h"), (scan.run_audit, audit, "a")):
+        path = str(tmp_path / name)
+        got = run(spark, root, [catalog], table=path)
+        at = got.document if name == "a" else got.document["scan_metadata"]
+        assert at["findings_table"] == path and got.document["findings"] == [] and got.exit_code == want.exit_code
+        if name == "h":
+            assert got.document["summary"] == want.document["summary"]
+        rows = [r.asDict() for r in spark.read.parquet(path).coalesce(1).collect()]
+        key = lambda r: r["id"]
+        assert sorted((scan.document.finding_record(r, None) for r in rows), key=key) == sorted(want.document["findings"], key=key) and rows
+        assert "c.txt" not in str(rows)
