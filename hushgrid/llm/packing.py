@@ -6,12 +6,13 @@ bin is planned: the longest length left opens it, a bitset subset-sum over the
 lengths left finds the fullest feasible combination, and that combination is
 taken as often as the counts allow. A plan is thus a short list of patterns.
 Pieces find their place by their rank among the pieces of their length, which is
-counted in salted groups, so that a length that a third of all pieces share is
+counted in salted groups of about GROUP pieces at most, so that a length that a third of all pieces share is
 no task's burden.
 
-Defined cases: a null or empty text makes no piece; pieces of equal length are
+Defined cases: a null or empty text makes one piece, of the end id alone; a null doc_id is kept;
+doc_ids are whole numbers (others fail under ANSI mode); pieces of equal length are
 interchangeable, so ties may fall either way; repeated rows are separate
-pieces; a length of 0 or over the capacity is refused; extra columns stay.
+pieces; a length of 0 or over the capacity is refused; extra columns of ``pack`` stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushgrid.llm.runtime import cut, ready
@@ -30,9 +31,8 @@ from hushgrid.llm.words import as_strings
 
 CAPACITY = 4096
 END_ID = 1
-#: Groups that pieces of one length are counted in.
-SALTS = 64
-#: Columns of this module's own tables; clashing columns of the input are kept under the prefix below.
+#: Pieces of one length that are counted in one group, about: the number of groups grows with the pieces.
+GROUP = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -129,33 +129,28 @@ def slots(bins: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """parts (any columns, and length) with sequence_id and offset. Compute parts first if that is dear: it is read three times.
+    """parts (any columns, and length) with sequence_id and offset. parts is computed once, into the shared folder: rows keep their numbers there.
 
-    Columns of parts called sequence_id or offset are replaced.
+    Columns of parts called sequence_id or offset are replaced. Of the counts, those by length alone come to the driver: capacity rows at most.
     """
     spark = ready(parts.sparkSession)
-    parts = parts.drop("sequence_id", "offset")
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in parts.columns if c in ("doc_id", "piece")], F.col("length")), F.lit(SALTS)))
-    sums = salted.groupBy("length", "_salt").count().collect()  # at most capacity x SALTS rows
-    histogram: dict[int, int] = {}
-    before = []
-    for x, salt, n in sorted(tuple(r) for r in sums):
-        before.append((x, salt, histogram.get(x, 0)))
-        histogram[x] = histogram.get(x, 0) + n
-    table = slots(plan(histogram, capacity))
-    ranks = spark.createDataFrame(before or [(0, 0, 0)], "_x long, _s long, _before long")
+    held = cut(parts.drop("sequence_id", "offset").select(F.struct("*").alias("row"), F.col("length").cast("int").alias("length")))
+    groups = max(1, -(-held.count() // GROUP))
+    salted = held.withColumn("nth", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.col("nth"), F.lit(groups)))
+    sums = cut(salted.groupBy("length", "salt").count())
+    histogram = {r[0]: r[1] for r in sums.groupBy("length").agg(F.sum("count")).collect()}
     by_length: dict[int, list] = {}
-    for x, *rest in table:
+    for x, *rest in slots(plan(histogram, capacity)):
         by_length.setdefault(x, []).append(tuple(rest))
-    places = spark.createDataFrame(list(by_length.items()) or [(0, [])], "_x long, _slots array<struct<a:long,z:long,sequence:long,n:long,offset:long>>")
-    # both tables are bounded by the capacity, not by the input: capacity x SALTS rows, and fewer than 9 x capacity patterns
-    from pyspark.sql import Window
-
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in ("doc_id", "piece") if c in parts.columns] or ["_salt"])) - 1
-    ranked = salted.withColumn("_own", own).join(F.broadcast(ranks), (F.col("length") == F.col("_x")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_x", "_s", "_own", "_before", "_salt")
-    found = ranked.join(F.broadcast(places), F.col("length") == F.col("_x")).withColumn("_slot", F.expr("filter(_slots, s -> s.a <= _rank and _rank < s.z)[0]")).drop("_slots", "_x")
-    nth = F.col("_rank") - F.col("_slot.a")
-    return found.withColumn("sequence_id", F.col("_slot.sequence") + F.floor(nth / F.col("_slot.n")).cast("long")).withColumn("offset", F.col("_slot.offset") + nth % F.col("_slot.n") * F.col("length")).drop("_slot", "_rank")
+    # bounded by the capacity, not by the input: fewer than 9 x capacity patterns
+    places = spark.createDataFrame(list(by_length.items()) or [(0, [])], "x int, slots array<struct<a:long,z:long,sequence:long,n:long,offset:long>>")
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sums.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    own = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("nth")) - 1)
+    ranked = own.join(ranks, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("own") + F.col("before"))
+    found = ranked.join(F.broadcast(places), F.col("length") == F.col("x")).withColumn("slot", F.expr("filter(slots, y -> y.a <= rank and rank < y.z)[0]"))
+    nth = F.col("rank") - F.col("slot.a")
+    return found.select("row.*", (F.col("slot.sequence") + F.floor(nth / F.col("slot.n")).cast("long")).alias("sequence_id"), (F.col("slot.offset") + nth % F.col("slot.n") * F.col("length")).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -165,8 +160,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of docs with their place. Encoding is the dear part: it is done once, and its narrow result kept in the shared folder."""
-    return pack(cut(pieces(docs, tokenizer, capacity, end_id)), capacity)
+    """Pieces of docs with their place. Encoding is the dear part: pack() does it once and keeps its narrow result in the shared folder."""
+    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 12 << 20
 #: Rows of whole texts that are handed to Python at once, at most: texts are long.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Tasks of a shuffle, at most: the driver holds a size for each pair of them.
+MOST_TASKS = 20_000
 #: What the optimiser says of sources whose size it doesn't know is at least this.
 UNKNOWN = 1 << 60
 
@@ -50,10 +53,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or, where that is unset (tests), a folder of this process."""
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, a folder of this process, but only if driver and executors are one process; on a cluster an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="hushgrid-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -82,3 +87,19 @@ def stored_bytes(df: DataFrame) -> int:
 def chunk_count(df: DataFrame) -> int:
     """Chunks to deal df's rows into: they hold about CHUNK_BYTES each, however large df is."""
     return max(partitions(df.sparkSession), min(stored_bytes(df) // CHUNK_BYTES, 1 << 24))
+
+
+def tasks(n: int) -> int:
+    """Tasks that n chunks or buckets are dealt to; beyond MOST_TASKS a task does several, one after the other."""
+    return max(1, min(n, MOST_TASKS))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, changed where df has one of that name already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

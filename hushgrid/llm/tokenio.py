@@ -9,11 +9,11 @@ empty skippable frame, which any zstandard reader passes over; it lets Spark's o
 writer and reader move the files, so that they may lie in any store that Spark opens.
 
 Documents lie in ascending doc_id order: within a file, and from file to file in
-the order of their names. Ids are little-endian, of 2 bytes if the vocabulary allows, else 4.
+the order of the numbers in their names. Ids are little-endian, of 2 bytes if the vocabulary allows, else 4.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id comes
 first; equal doc_ids are ordered by a hash of their text, and rows repeated
-in full are written each; an empty table gives no documents; extra columns are dropped.
+in full are written each; doc_ids are whole numbers; an empty table gives no documents; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ class Reader:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode docs and write one file a range of doc_ids under path."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
 
@@ -146,7 +146,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     dealt = rows.repartitionByRange(chunk_count(docs), *order).sortWithinPartitions(*order)
     data = dealt.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
     data.write.option("lineSep", GAP.decode("latin-1")).option("compression", "none").mode("errorifexists").text(path)
-    del spark
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -174,8 +173,10 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_
 
 def with_global_starts(found: DataFrame) -> DataFrame:
     """start counted from the first file on. found: all documents of all files, computed already."""
+    # Spark numbers files part-00000, part-00001, ..., and with more digits from 100000 on: the number decides, not the text
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     files = found.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    before = files.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("file").alias("_file"), "_before")
+    before = files.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("file").alias("_file"), "_before")
     return found.join(before, F.col("file") == F.col("_file")).withColumn("start", F.col("start") + F.col("_before")).drop("_file", "_before")
 
 

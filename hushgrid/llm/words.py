@@ -28,8 +28,15 @@ def as_strings(column) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def tidy() -> None:
-    """Give memory that is free back to the machine: workers live on, and so would their largest hour."""
+#: What operators keep in a worker from task to task.
+KEPT: list[dict] = []
+
+
+def tidy(own: dict | None = None) -> None:
+    """Give memory that is free back to the machine: workers live on, and so would their largest hour. What other operators than the caller (own) keep in this worker goes too."""
+    for held in KEPT:
+        if held is not own:
+            held.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

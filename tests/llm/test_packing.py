@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hushgrid.llm import packing
 from hushgrid.llm.tokens import encoder
@@ -16,7 +17,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -29,6 +29,31 @@ def test_word_by_word_ids_are_those_of_the_whole_text(text):
     assert ids.tolist() == one + whole(["x"])[0] + one and starts.tolist()[-1] == len(ids)
 
 
+def test_ids_are_those_of_the_plain_call_for_every_character():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [t for c in range(1, 1 << 16) if not 0xD800 <= c < 0xE000 for t in (f"x{chr(c)}. y", f"{chr(c)}? {chr(c)}É{chr(c)}, J{chr(c)}! é{chr(c)};{chr(c)} {chr(c)}J")]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|>. B<|endoftext|>.", "<|EndOfText|> X.", "\x1f", "x.\x1f \x1f", "a$$$ it's' '' <| |>"]
+    rng, letters = random.Random(1), "aAéÉçßÀ.,;:!?'sS9 \t\n\r\x0b\x1f\u0301\u030c\u0307JjİΣς \u0085日ﬁ-_<|>$"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
+    found = [ids[s:e].tolist() for _, ids, starts in encoder(PATH).batches(pa.array(texts)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    wanted = [x.ids for x in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, f, w in zip(texts, found, wanted, strict=True) if f != w] == []
+
+
+def test_words_forgotten_are_learned_again(monkeypatch):
+    import pyarrow as pa
+
+    from hushgrid.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 10)
+    e = tokens.Encoder(PATH)
+    texts = [f"w{i} word{i % 7}, W{i - 3}." for i in range(60)]
+    got = [e.batch(pa.array([t]))[0].tolist() for t in texts]
+    assert got == whole(texts) and len(e.kept) < 40
+
+
 def check(found, rows, capacity, end_id=1):
     ids = defaultdict(list)
     for r in rows:
@@ -87,6 +112,19 @@ def test_plan_uses_each_piece_once():
 def test_empty_and_clashing(spark, empty, clashing, rows):
     assert packing.pack_documents(spark, empty, PATH).count() == 0
     assert packing.pack_documents(spark, clashing, PATH).count() >= len(rows)
+    names = ["row", "nth", "salt", "l", "s", "before", "own", "rank", "x", "slots", "slot", "_x", "_s", "_before", "_slots", "_salt", "_own", "_rank", "_slot", "_chunk"]
+    parts = spark.range(500).select((F.col("id") % 7 + 1).alias("length"), F.lit(None).cast("long").alias("doc_id"), *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names])
+    packed = packing.pack(parts, 20)
+    assert packed.columns == [*parts.columns, "sequence_id", "offset"]
+    assert packed.select(*parts.columns).exceptAll(parts).count() == 0 and packed.count() == 500
+
+
+def test_a_length_that_all_share_is_counted_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    parts = spark.range(1003).select(F.lit(5).alias("length"), "id")
+    got = packing.pack(parts, 17).collect()
+    assert len(got) == 1003 and len({(r.sequence_id, r.offset) for r in got}) == 1003
+    assert Counter(r.offset for r in got).keys() == {0, 5, 10} and len({r.sequence_id for r in got}) == 335
 
 
 def test_sequences_hold_the_ids(spark, docs, rows):
