@@ -31,8 +31,8 @@ from hushgrid.llm.words import as_strings
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length that are counted in one group, about: the number of groups grows with the pieces.
-GROUP = 200_000
+#: Pieces of one length that are counted in one group, about: the number of groups grows with the pieces of that length.
+GROUP = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -135,10 +135,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = ready(parts.sparkSession)
     held = cut(parts.drop("sequence_id", "offset").select(F.struct("*").alias("row"), F.col("length").cast("int").alias("length")))
-    groups = max(1, -(-held.count() // GROUP))
-    salted = held.withColumn("nth", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.col("nth"), F.lit(groups)))
+    histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
+    groups = spark.createDataFrame([(x, -(-n // GROUP)) for x, n in histogram.items()] or [(0, 1)], "g int, groups long")
+    salted = held.withColumn("nth", F.monotonically_increasing_id()).join(F.broadcast(groups), F.col("length") == F.col("g")).withColumn("salt", F.pmod("nth", "groups"))
     sums = cut(salted.groupBy("length", "salt").count())
-    histogram = {r[0]: r[1] for r in sums.groupBy("length").agg(F.sum("count")).collect()}
     by_length: dict[int, list] = {}
     for x, *rest in slots(plan(histogram, capacity)):
         by_length.setdefault(x, []).append(tuple(rest))
