@@ -4,8 +4,8 @@ Documents are dealt into chunks. A chunk sends each of its distinct 64-bit keys
 once, to the bucket that owns the key; the bucket answers each chunk in the
 order in which that chunk's keys came, so that an answer needs no key. A row of
 the shuffle holds the packed keys of one chunk for one bucket. Tasks hold one
-chunk or a few buckets, and there are as many of either as the input is large.
-A key that a third of all documents share is sent once a chunk.
+chunk or one bucket at a time, and there are as many of either as the input is large
+(tasks: up to runtime.MOST_TASKS). A key that a third of all documents share is sent once a chunk.
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hushgrid.llm.runtime import tasks
+from hushgrid.llm.words import tidy
 
 SENT = "chunk int, bucket int, data binary"
 SENT_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -51,30 +56,67 @@ def unpack(data: bytes, dtypes: list) -> list[np.ndarray]:
     return out
 
 
-def reducer(dtypes: list, f: Callable) -> Callable:
-    """For mapInArrow on what send() made, dealt by bucket. f(keys' groups, number of groups, columns, chunk of each) gives one array for the rows, or None for no answer."""
+def dealt_by(df: DataFrame, column: str, n: int, task: str) -> DataFrame:
+    """df with each of the n values (0, 1, ...) of a column in one task, tasks evenly filled; task is the name of a column for its number."""
+    k = tasks(n)
+    return df.withColumn(task, F.pmod(F.col(column), F.lit(k)).cast("int")).repartitionById(k, F.col(task))
+
+
+def reduced(sent: DataFrame, n: int, dtypes: list, f: Callable, checked: bool = False) -> DataFrame:
+    """What the n buckets answer to what send() made: rows of the same form (chunk, bucket, data)."""
+    return dealt_by(sent, "bucket", n, "task").sortWithinPartitions("bucket", "chunk").select("chunk", "bucket", "data").mapInArrow(reducer(dtypes, f, checked), SENT)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The data of one bucket after the other, of rows sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        for b, d in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            if b != at and held:
+                yield at, held
+                held = []
+            at = b
+            held.append(d)
+    if held:
+        yield at, held
+
+
+def reducer(dtypes: list, f: Callable, checked: bool = False) -> Callable:
+    """For mapInArrow on what send() made, dealt and sorted by bucket: one bucket is held at a time. f(keys' groups, number of groups, columns, chunk of each) gives one array for the rows. checked: the first column is a part of the key."""
+
+    def one(b: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda x: x[0])
+        parts = [unpack(d, dtypes) for _, d in rows]
+        for p in parts:
+            p[0] = unsqueeze(p[0].tobytes())
+        sizes = np.array([len(p[0]) for p in parts])
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))]
+        keys = columns[0]
+        order = np.lexsort((columns[1], keys)) if checked else np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        if checked:
+            ordered = columns[1][order]
+            new[1:] |= ordered[1:] != ordered[:-1]
+        group = np.empty(len(keys), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        answer = f(group, int(new.sum()), columns[1:], np.repeat([c for c, _ in rows], sizes))
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        data = [answer[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array(data, pa.binary())], schema=SENT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        at, held = None, []
         for batch in batches:
             for c, b, d in zip(batch["chunk"].to_pylist(), batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                held.setdefault(b, []).append((c, d))
-        for b in list(held):
-            rows = sorted(held.pop(b), key=lambda x: x[0])
-            parts = [unpack(d, dtypes) for _, d in rows]
-            for p in parts:
-                p[0] = unsqueeze(p[0].tobytes())
-            sizes = np.array([len(p[0]) for p in parts])
-            keys = np.concatenate([p[0] for p in parts])
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-            group = np.empty(len(keys), dtype=np.int64)
-            group[order] = np.cumsum(new) - 1
-            answer = f(group, int(new.sum()), [np.concatenate([p[i] for p in parts]) for i in range(1, len(dtypes))], np.repeat([c for c, _ in rows], sizes))
-            cuts = np.concatenate(([0], np.cumsum(sizes)))
-            data = [answer[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array(data, pa.binary())], schema=SENT_ARROW)
+                if b != at and held:
+                    yield one(at, held)
+                    held = []
+                at = b
+                held.append((c, d))
+        if held:
+            yield one(at, held)
+        tidy()
 
     return run
 

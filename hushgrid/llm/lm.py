@@ -1,70 +1,78 @@
 """Language-model scores by stupid backoff, each document against all others.
 
-Count tables of words and word pairs are partitioned by the hash of the n-gram (see
+Count tables of n-grams of 1 to ``order`` words are partitioned by the hash of the n-gram (see
 exchange.py): a chunk of documents sends each n-gram it has once, with its count there,
 and gets back the count in the whole corpus. The document's n-grams, exploded in place, are
 joined to these counts, its own occurrences taken off, so that a text is never scored by
-itself. Scores are summed per document.
+itself. Scores are summed per document. ``count_table`` gives the tables themselves, a row an n-gram: the
+join of such rows would shuffle a row a word and order, so scores() carries the same tables packed.
 
-For a word w after v: log(c(v w) / c(v)) if c(v w) > 0; else log(B c(w) / N) if c(w) > 0; else
-log(B^2 / (N + 1)). The first word: log(c(w) / N), or log(B / (N + 1)). Counts c and the
-number N of words are those of all other documents; B is the backoff factor.
+S(w after h) = c(h w) / c(h) if c(h w) > 0, else B S(w after h without its first word); S(w) = c(w) / N if
+c(w) > 0, else B / (N + 1). Scores are logarithms. h is the order - 1 words before, or as many as there are.
+Counts c and the number N of words are those of all other documents; B is the backoff factor.
 
 Defined cases: a null or empty text has 0 words, score 0 and a null mean; N is at least 1;
 repeated rows are documents of their own and count for each other, as do rows of one
-doc_id; of extra columns none stays. What the tables gather grows with the corpus: nothing is
+doc_id; doc_ids are whole numbers; of extra columns none stays. What the tables gather grows with the corpus: nothing is
 sampled or cut off.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgrid.llm.exchange import SENT, answers, reducer, send
-from hushgrid.llm.runtime import chunk_count, partitions, ready
-from hushgrid.llm.words import as_strings, docs_of, mix, window_starts, windows, word_hashes
+from hushgrid.llm.exchange import SENT, answers, dealt_by, reduced, send, unpack, unsqueeze
+from hushgrid.llm.runtime import chunk_count, ready
+from hushgrid.llm.words import as_strings, docs_of, grouped, mix, tidy, window_starts, windows, word_hashes
 
 BACKOFF = 0.4
+#: Words of the longest n-grams of the query (README has the figures of more).
+ORDER = 2
 #: The key under which chunks count their words.
 ALL = np.uint64(0)
 
 
 class Chunk:
-    def __init__(self, table: pa.Table):
-        self.hashes, self.starts = word_hashes(as_strings(table["text"]))
+    def __init__(self, table: pa.Table, order: int):
+        hashes, self.starts = word_hashes(as_strings(table["text"]))
         self.doc = docs_of(self.starts)
-        n = len(self.hashes)
-        self.at = np.flatnonzero(window_starts(self.starts, 2))
-        found = np.concatenate(([ALL], mix(self.hashes + np.uint64(1)), windows(self.hashes, 2)[self.at]))
-        del self.hashes
-        self.keys, group, self.counts = np.unique(found, return_inverse=True, return_counts=True)
+        self.at = [np.arange(len(hashes)), *(np.flatnonzero(window_starts(self.starts, o)) for o in range(2, order + 1))]
+        found = np.concatenate([[ALL], mix(hashes + np.uint64(1)), *(windows(hashes, o)[at] for o, at in enumerate(self.at[1:], 2))])
+        del hashes
+        self.keys, group, self.counts = grouped(found)
         del found
-        self.one, self.two = group[1 : 1 + n].astype(np.int32), group[1 + n :].astype(np.int32)
-        self.counts[group[0]] += n - 1
+        self.counts[group[0]] += len(self.doc) - 1
+        ends = np.cumsum([1, *map(len, self.at)])
+        #: For each order the number of the key at each place of at.
+        self.groups = [group[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
-    def own(self, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """How often each n-gram occurs in its document."""
-        _, at, n = np.unique(doc * len(self.keys) + group, return_inverse=True, return_counts=True)
-        return n[at]
+    def elsewhere(self, total: np.ndarray, o: int) -> np.ndarray:
+        """How often each n-gram of an order occurs in other documents, by place."""
+        group, doc = self.groups[o], self.doc[self.at[o]]
+        _, at, n = grouped(doc * len(self.keys) + group)
+        return total[group] - n[at]
 
     def scores(self, total: np.ndarray, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per document the summed score, and the number of words whose pair was not met elsewhere."""
+        """Per document the summed score, and the number of words whose longest n-gram was not met elsewhere."""
         n_docs, size = len(self.starts) - 1, np.diff(self.starts)
         others = np.maximum(total[np.searchsorted(self.keys, ALL)] - size, 1)[self.doc].astype(float)
-        one = total[self.one] - self.own(self.one, self.doc)
+        met = self.elsewhere(total, 0)
+        missed = np.zeros(len(met), dtype=bool)
         with np.errstate(divide="ignore", invalid="ignore"):
-            plain = np.where(one > 0, np.log(one / others), np.log(backoff / (others + 1)))
-            first = np.zeros(len(one), dtype=bool)
-            first[self.starts[:-1][size > 0]] = True
-            score = np.where(first, plain, plain + np.log(backoff))
-            pair = total[self.two] - self.own(self.two, self.doc[self.at])
-            known = pair > 0
-            score[self.at[known] + 1] = np.log(pair[known] / one[self.at[known]])
-        missed = ~first
-        missed[self.at[known] + 1] = False
+            score = np.where(met > 0, np.log(met / others), np.log(backoff / (others + 1)))
+            for o in range(1, len(self.at)):
+                at = self.at[o]
+                before = np.zeros(len(self.doc), dtype=np.int64)
+                before[self.at[o - 1]] = met
+                met = self.elsewhere(total, o)
+                known = met > 0
+                score[at + o] = np.where(known, np.log(met / before[at]), score[at + o] + np.log(backoff))
+                missed[at + o] = ~known
         return np.bincount(self.doc, weights=score, minlength=n_docs).astype(float), np.bincount(self.doc[missed], minlength=n_docs)
 
 
@@ -72,26 +80,50 @@ def _total(group, n, columns, _chunks):
     return np.bincount(group, weights=columns[0], minlength=n).astype(np.int64)[group]
 
 
-def scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words, score, mean_score and n_backed_off for each row of docs."""
-    spark = ready(docs.sparkSession)
+def _dealt(docs: DataFrame) -> tuple:
+    """docs by chunk, and the number of chunks. Dealt by text too: rows of one doc_id may be many."""
     n = chunk_count(docs)
-    # dealt by text too: rows of one doc_id may be many
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "_chunk")
-    buckets = 2 * n
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return dealt_by(own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), "chunk", n, "task").groupBy("task", "chunk"), n
+
 
+def _counted(dealt, n: int, order: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
-        c = Chunk(table)
-        return send(table["_chunk"][0].as_py(), buckets, c.keys, c.counts.astype(np.uint32))
+        c = Chunk(table, order)
+        return send(table["chunk"][0].as_py(), 2 * n, c.keys, c.counts.astype(np.uint32))
+
+    return dealt.applyInArrow(count, SENT)
+
+
+def count_table(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n): how often each n-gram of 1 to order words, named by its hash, occurs in the corpus; gram 0 stands for all words. Partitioned by gram."""
+    ready(docs.sparkSession)
+    dealt, n = _dealt(docs)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch["data"].to_pylist():
+                keys, counts = unpack(data, ["u8", "u4"])
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze(keys.tobytes()).view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+
+    return _counted(dealt, n, order).mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def scores(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, score, mean_score and n_backed_off for each row of docs."""
+    ready(docs.sparkSession)
+    dealt, n = _dealt(docs)
 
     def judge(table: pa.Table, got: pa.Table) -> pa.Table:
-        c = Chunk(table)
+        c = Chunk(table, order)
         score, missed = c.scores(answers(got, np.int64), backoff)
-        return pa.Table.from_arrays([table["doc_id"], pa.array(np.diff(c.starts)), pa.array(score), pa.array(missed)], names=["doc_id", "n_words", "score", "n_backed_off"])
+        n_words = np.diff(c.starts)
+        del c
+        tidy()
+        return pa.Table.from_arrays([table["doc_id"], pa.array(n_words), pa.array(score), pa.array(missed)], names=["doc_id", "n_words", "score", "n_backed_off"])
 
-    sent = dealt.groupBy("_chunk").applyInArrow(count, SENT).repartition(max(partitions(spark), n), "bucket")
-    back = sent.mapInArrow(reducer(["u8", "u4"], _total), SENT).withColumnRenamed("chunk", "_chunk").repartition(n, "_chunk")
-    found = dealt.groupBy("_chunk").cogroup(back.groupBy("_chunk")).applyInArrow(judge, "doc_id long, n_words long, score double, n_backed_off long")
+    back = dealt_by(reduced(_counted(dealt, n, order), 2 * n, ["u8", "u4"], _total), "chunk", n, "task")
+    found = dealt.cogroup(back.groupBy("task", "chunk")).applyInArrow(judge, "doc_id long, n_words long, score double, n_backed_off long")
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 
 
@@ -100,23 +132,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_backed_off", F.round("score", 4).alias("score"))
 
 
-OP10_SQL = r"""
-WITH words AS (
-  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
-pairs AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM words),
-one AS (SELECT w, count(*) AS c FROM words GROUP BY w),
-own1 AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY doc_id, w),
-two AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w),
-own2 AS (SELECT doc_id, v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY doc_id, v, w),
-sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
-counts AS (
-  SELECT p.doc_id, p.v, one.c - own1.c AS cw, onev.c - own1v.c AS cv, two.c - own2.c AS cvw, greatest((SELECT count(*) FROM words) - sizes.n, 1) AS n
-  FROM pairs p JOIN one USING (w) JOIN own1 ON own1.doc_id = p.doc_id AND own1.w = p.w JOIN sizes ON sizes.doc_id = p.doc_id
-  LEFT JOIN one onev ON onev.w = p.v LEFT JOIN own1 own1v ON own1v.doc_id = p.doc_id AND own1v.w = p.v
-  LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN own2 ON own2.doc_id = p.doc_id AND own2.v = p.v AND own2.w = p.w),
-scored AS (
-  SELECT doc_id, CASE WHEN cvw > 0 THEN ln(cvw / cv) ELSE CASE WHEN cw > 0 THEN ln(cw / n) ELSE ln(0.4 / (n + 1)) END + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END AS s,
-    CASE WHEN v IS NOT NULL AND NOT cvw > 0 THEN 1 ELSE 0 END AS missed FROM counts)
-SELECT d.doc_id, CAST(count(s) AS BIGINT) AS n_words, CAST(coalesce(sum(missed), 0) AS BIGINT) AS n_backed_off, round(coalesce(sum(s), 0), 4) AS score
-FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
-"""
+def sql(order: int = ORDER, backoff: float = BACKOFF) -> str:
+    """The query at any order in DuckDB's SQL."""
+    orders = range(1, order + 1)
+    gram = {o: " || ' ' || ".join(["w", *(f"v{k}" for k in range(1, o))][::-1]) for o in orders}
+    head = {o: " || ' ' || ".join([f"v{k}" for k in range(1, o)][::-1]) or "''" for o in orders}
+    parts = [
+        "words AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM documents)",
+        "placed AS (SELECT doc_id, i, w" + "".join(f", lag(w, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS v{k}" for k in range(1, order)) + " FROM words)",
+        "sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)",
+    ]
+    for o in orders:
+        parts.append(f"g{o} AS (SELECT doc_id, i, {gram[o]} AS g, {head[o]} AS h FROM placed WHERE i >= {o})")
+        parts.append(f"c{o} AS (SELECT doc_id, g, sum(count(*)) OVER (PARTITION BY g) - count(*) AS c FROM g{o} GROUP BY doc_id, g)")
+    levels = [f"s1 AS (SELECT g.doc_id, g.i, CASE WHEN c.c > 0 THEN ln(c.c / greatest((SELECT count(*) FROM words) - z.n, 1)) ELSE ln({backoff} / (greatest((SELECT count(*) FROM words) - z.n, 1) + 1)) END AS s, 0 AS missed FROM g1 g JOIN c1 c USING (doc_id, g) JOIN sizes z USING (doc_id))"]
+    for o in orders[1:]:
+        levels.append(f"s{o} AS (SELECT s.doc_id, s.i, CASE WHEN c.c IS NULL THEN s.s WHEN c.c > 0 THEN ln(c.c / b.c) ELSE s.s + ln({backoff}) END AS s, CASE WHEN c.c IS NULL THEN s.missed WHEN c.c > 0 THEN 0 ELSE 1 END AS missed FROM s{o - 1} s LEFT JOIN g{o} g ON g.doc_id = s.doc_id AND g.i = s.i LEFT JOIN c{o} c ON c.doc_id = g.doc_id AND c.g = g.g LEFT JOIN c{o - 1} b ON b.doc_id = g.doc_id AND b.g = g.h)")
+    return "WITH " + ",\n".join(parts + levels) + f"\nSELECT d.doc_id, CAST(count(s) AS BIGINT) AS n_words, CAST(coalesce(sum(missed), 0) AS BIGINT) AS n_backed_off, round(coalesce(sum(s), 0), 4) AS score FROM documents d LEFT JOIN s{order} USING (doc_id) GROUP BY d.doc_id"
+
+
+OP10_SQL = sql()

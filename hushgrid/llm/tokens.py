@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from hushgrid.llm.words import KEPT, slices, split_words, tidy
+from hushgrid.llm.words import BLANK, KEPT, slices, spans, split_words, tidy
 
 #: Distinct words that a worker keeps the ids of (about 170 bytes each), in two halves: when the younger is full, the older is given up, but for words met again.
 KEPT_WORDS = 700_000
@@ -32,7 +32,6 @@ PROBES = ("Two  words,\tÉté déjà vu: it's 42%!\n\nthe end…  áb ́c ﬁn x
 FOLD_PROBES = ("word, WoRd.", "É. é! àÇ:", "x9?! Ab9.,;", "ÀÉß: ÞÿÖ, B.Ü!", "it's. IT'S; 'S: ab' x'' 9$$$ é<|> A*** z\\")
 SEPARATOR = "\x1f"
 TAIL = np.isin(np.arange(256), [b for b in range(33, 127) if not chr(b).isalnum()])
-BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 #: Second bytes, after C3, of the small letters from U+00DF to U+00FF, and of the capitals from U+00C0 to U+00DE.
 SMALL, CAPITAL = (np.isin(np.arange(256), [x for x in r if x not in (0x97, 0xB7)]) for r in (range(0x9F, 0xC0), range(0x80, 0x9F)))
@@ -51,11 +50,7 @@ def encoder(path: str) -> Encoder:
 
 def folded(texts: pa.Array) -> pa.Array:
     """texts with A-Z and the capitals from U+00C0 to U+00DE as small letters, and a space before ASCII punctuation that ends a word after a letter or digit; neither where a mark might follow."""
-    wide = pa.types.is_large_string(texts.type)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
-    offsets = offsets - offsets[0]
+    data, offsets = spans(texts)
     if not len(data):
         return texts
     after = np.append(data[1:], np.uint8(32))

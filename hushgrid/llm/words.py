@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: Odd multiplier of the rolling hash of a word sequence.
 BASE = 0x9E3779B97F4A7C15
@@ -56,11 +55,8 @@ def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 def lowered(texts: pa.Array) -> pa.Array:
     """A-Z lower-cased, on the bytes of the whole batch at once."""
-    wide = pa.types.is_large_string(texts.type)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    data = data.to_pybytes().translate(LOWER_AZ) if data is not None else b""
-    return pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+    data, offsets = spans(texts)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(LOWER_AZ))])
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -77,23 +73,69 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return values.dictionary_encode(), starts
 
 
-def hash_each(words: list[bytes] | list[str], seed: int = 0) -> np.ndarray:
-    f = xxhash.xxh64_intdigest
-    return np.fromiter((f(w, seed) for w in words), dtype=np.uint64, count=len(words))
-
-
-def word_hashes(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, and where each text's words start. Texts are split some at a time: what is held beside the hashes stays small."""
+def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, and where each starts (one more entry than texts)."""
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return data, offsets - offsets[0]
+
+
+#: A 64-bit value for each byte, and powers of BASE and of its inverse: a word's hash is the sum of its bytes' values, each times a power by its place.
+VALUES = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+HASHED = 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, HASHED)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, dtype=np.uint64), np.full(size - 1, b, dtype=np.uint64)))) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1]
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of bytes that are hashed at once."""
+    n = len(data)
+    inside = np.zeros(n + 2, dtype=bool)
+    inside[1:-1] = ~BLANK[data]
+    edge = inside[1:] != inside[:-1]
+    cut = offsets[1:-1]
+    cut = cut[inside[cut + 1] & inside[cut]]  # words of neighbouring texts that touch
+    places = np.flatnonzero(edge)
+    if len(cut):
+        places = np.sort(np.concatenate((places, np.repeat(np.unique(cut), 2))))
+    first, last = places[::2], places[1::2]
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(VALUES[data] * up, out=sums[1:])
+    h = (sums[last] - sums[first]) * down[first]
+    return mix(h + (last - first).astype(np.uint64) * np.uint64(BASE)), np.searchsorted(first, offsets)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, and where each text's words start. Texts are hashed some at a time, long ones in parts: what is held beside the hashes stays small."""
     hashes, starts, done = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
-    for s, e in slices(texts):
-        coded, own = split_words(texts.slice(s, e - s))
-        h = hash_each(coded.dictionary.to_pylist(), seed)
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        if len(index):
-            hashes.append(h[index])
+    for s, e in slices(texts, HASHED):
+        data, offsets = spans(texts.slice(s, e - s))
+        at = 0
+        while e - s == 1 and len(data) - at > HASHED:  # up to a blank
+            blank = np.flatnonzero(BLANK[data[at : at + HASHED]])
+            if len(blank):
+                to = at + int(blank[-1]) + 1
+            else:
+                later = next((i + int(x[0]) + 1 for i in range(at + HASHED, len(data), HASHED) if len(x := np.flatnonzero(BLANK[data[i : i + HASHED]]))), len(data))
+                to = later
+            h, own = _hashed(data[at:to], np.array([0, to - at]))
+            hashes.append(h)
+            done += len(h)
+            at = to
+        h, own = _hashed(data[at:], np.maximum(offsets - at, 0))
+        hashes.append(h)
         starts.append(own[1:] + done)
-        done += int(own[-1])
-    tidy()
+        done += len(h)
     return np.concatenate(hashes), np.concatenate(starts)
 
 
@@ -106,6 +148,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the number of each key's one, and how often each occurs; in less memory than np.unique."""
+    if not len(keys):
+        return keys, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number, np.diff(np.flatnonzero(new), append=len(keys))
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of k words from each place of h on, built by doubling; the last k-1 places are left out. Windows may cross texts: callers leave those out."""
     n = len(h) - k + 1

@@ -37,5 +37,5 @@ def clashing(docs):
     """Extra columns under names that the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["n_words", "n_removed", "score", "lang_pred", "ambiguous", "sequence_id", "offset", "shard", "shard_bytes", "length", "piece", "kept", "posterior", "component_id", "fp"]
+    names = ["n_words", "n_removed", "score", "lang_pred", "ambiguous", "sequence_id", "offset", "shard", "shard_bytes", "length", "piece", "kept", "posterior", "component_id", "fp", "row", "root", "node", "level", "chunk", "bucket", "data", "task", "held_out", "_spoken", "_kept", "_row", "_chunk", "_task", "_found", "_x", "_s", "_before", "_slots", "_salt", "_own", "_rank", "_slot", "_t", "_w", "_h", "_fp", "_n", "_nth"]
     return docs.select("*", *[F.lit("x").alias(n) for n in names])

@@ -51,6 +51,44 @@ def test_few_words_many_repeats(spark):
     assert got(substring_dedup.remove_repeats(df, 13)) == brute(rows, 13)
 
 
+def test_few_tasks_for_many_chunks(docs, rows, monkeypatch):
+    from hushgrid.llm import runtime
+
+    monkeypatch.setattr(runtime, "MOST_TASKS", 2)
+    assert got(substring_dedup.remove_repeats(docs, 13)) == brute(rows, 13)
+
+
+def test_levels_double():
+    assert [substring_dedup.levels(w) for w in (1, 4, 5, 13, 16, 26)] == [[1], [4], [4, 5], [4, 8, 13], [4, 8, 16], [4, 8, 16, 26]]
+
+
+def test_longest_doubles_until_nothing_survives(spark, docs, rows, empty):
+    def brute_longest(first):
+        out, length = {}, first
+        while True:
+            seen = {}
+            for d, t, *_ in rows:
+                w = (t or "").split()
+                for k in range(len(w) - length + 1):
+                    seen.setdefault(tuple(w[k : k + length]), set()).add(d)
+            now = {d for ids in seen.values() if len(ids) > 1 for d in ids}
+            if not now:
+                return out
+            out |= dict.fromkeys(now, length)
+            length *= 2
+
+    for first in (3, 13):
+        assert {r.doc_id: r.words for r in substring_dedup.longest(docs, first).collect()} == brute_longest(first)
+    assert substring_dedup.longest(empty).count() == 0
+
+
+def test_white_space_around_what_stays(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(1, passage), (2, f"one\n two\t\n{passage}\n\nthree  four\n"), (3, f"{passage} x"), (4, f"x\n{passage}\n")]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rejoin=False).collect()}
+    assert out == {1: passage, 2: "one\n two\t\nthree  four\n", 3: "x", 4: "x\n"}
+
+
 def test_empty_clashing_and_untouched(empty, clashing, rows):
     assert substring_dedup.remove_repeats(empty).count() == 0
     out = substring_dedup.remove_repeats(clashing)
@@ -64,3 +102,23 @@ def test_window_hashes_do_not_depend_on_place():
     for k in (1, 2, 7, 13, 50):
         assert windows(h, k)[-1] == windows(h[-k:], k)[0] and len(windows(h, k)) == 51 - k
     assert len(windows(h[:3], 4)) == 0
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have others; words of texts that touch are parted."""
+    import pyarrow as pa
+
+    from hushgrid.llm import words as W
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \n\té日") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "a", "b" * 3000, "x " * 2000, "ab"]
+    for hashed in (W.HASHED, 500):
+        monkeypatch.setattr(W, "HASHED", hashed)
+        for kind in (pa.string(), pa.large_string()):
+            h, starts = W.word_hashes(pa.array(["zz", *texts], kind).slice(1))
+            split = [t.encode().split() for t in texts]
+            assert starts.tolist() == [0, *np.cumsum([len(w) for w in split]).tolist()]
+            named = {}
+            for w, x in zip([w for own in split for w in own], h.tolist(), strict=True):
+                assert named.setdefault(w, x) == x
+            assert len(set(named.values())) == len(named)
