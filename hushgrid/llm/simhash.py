@@ -11,11 +11,12 @@ probed part, once for each choice of t_i bits left out; those that meet are veri
 Equal fingerprints are one node, whatever their number. Large groups of
 fingerprints that meet are searched from one to the next: linked ones leave the
 group at once, so that near copies, which nearly all link, cost a few passes; no
-pair is left out and pairs are never listed. What a task found is sent on as a forest.
+pair is left out and pairs are never listed. A very large group is first grouped again by k + 1 bands of the bits
+in which it varies, one of which any linked pair has in common. What a task found is sent on as a forest.
 
-Defined cases: a null or empty text has fingerprint 0 and links as any other; a null doc_id is
+Defined cases: a null or empty text has fingerprint 0 and links as any other; doc_ids are whole numbers, a null one is
 never a component's name unless all its documents have none; repeated rows and ties
-share a component; extra columns stay; an empty table gives none.
+share a component; extra columns stay, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgrid.llm.components import components
-from hushgrid.llm.exchange import SENT, SENT_ARROW, bucket_of, unpack
+from hushgrid.llm.exchange import SENT, SENT_ARROW, bucket_of, by_bucket, dealt_by, unpack
 from hushgrid.llm.runtime import cut, partitions, ready
-from hushgrid.llm.words import BASE, LOWER_AZ, mix
+from hushgrid.llm.words import BASE, LOWER_AZ, mix, tidy
 
 BITS = 64
 SEED = 42
-#: Fingerprints that meet in larger groups are searched instead of compared pair by pair.
-SMALL = 48
+#: Fingerprints that meet in larger groups are searched instead of compared pair by pair, and in groups over LARGE grouped once more.
+SMALL, LARGE = 48, 2048
+#: Keys that one bucket holds, about.
+BUCKET = 400_000
 #: Most parts tried.
 PARTS = 4
 #: Shingles whose bits are counted at once.
@@ -62,18 +65,29 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that stand for a text; a null one counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def row_key(doc_id: Column, hashed: Column) -> Column:
+    """What tells rows of different doc_id or text apart."""
+    return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), hashed)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, a hash of the text, and the fingerprint as a signed long."""
     ready(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(fps, pa.int64())], schema=schema)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", text_hash(F.col("text")))
+    return own.mapInArrow(run, "doc_id long, text_hash string, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -170,6 +184,8 @@ def choose(fps: DataFrame, k: int, parts: int = PARTS) -> list[tuple[int, list[i
             continue
         if found is None or total < found[0]:
             found = (total, [(sum(1 << b for b in g), g, t) for g, t in zip(groups, ts, strict=True) if t >= 0])
+    if found is None:
+        raise ValueError(f"{parts} parts are too few for a distance of {k}: a part would need over 5000 probes")
     return [(whole, [whole & ~sum(1 << b for b in out) for out in itertools.combinations(g, t)]) for whole, g, t in found[1]]
 
 
@@ -187,6 +203,46 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _search(fps: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (of nodes) that connect what is within k bits in one group of different fingerprints."""
+    if len(fps) > LARGE:
+        varies = int(np.bitwise_or.reduce(fps) & ~np.bitwise_and.reduce(fps))
+        bits = [b for b in range(BITS) if varies >> b & 1]
+        shares = [(b, float((fps >> np.uint64(b) & np.uint64(1)).mean())) for b in bits]
+        bits = [b for b, p in sorted(shares, key=lambda x: abs(x[1] - 0.5))]
+        if len(bits) > 2 * (k + 1):
+            a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+            for band in range(k + 1):
+                own = fps & np.uint64(sum(1 << x for x in bits[band :: k + 1]))
+                order = np.argsort(own, kind="stable")
+                edges = np.flatnonzero(np.diff(own[order])) + 1
+                for some in np.split(order, edges):
+                    if 1 < len(some) < len(fps):
+                        x, y = _search(fps[some], node[some], k) if len(some) < len(fps) // 2 else _outward(fps[some], node[some], k)
+                        a.append(x)
+                        b.append(y)
+                    elif len(some) == len(fps):
+                        return _outward(fps, node, k)
+            return np.concatenate(a), np.concatenate(b)
+    return _outward(fps, node, k)
+
+
+def _outward(fps: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """From one fingerprint to the next: those within k bits leave the group at once."""
+    left, a, b = np.arange(len(fps)), [np.zeros(0, int)], [np.zeros(0, int)]
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[x]) <= k
+            if near.any():
+                got, left = left[near], left[~near]
+                a.append(np.full(len(got), node[x]))
+                b.append(node[got])
+                queue += got.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
 def linked(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints that share a key, verified: (fingerprint, smallest one it was linked with here) as a forest."""
     order = np.lexsort((fps, keys))
@@ -208,17 +264,9 @@ def linked(keys: np.ndarray, fps: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         a.append(node[near])
         b.append(node[near + d])
     for s, n in zip(first[big], size[big], strict=True):
-        left = np.arange(s, s + n)
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                near = np.bitwise_count(fps[left] ^ fps[x]) <= k
-                if near.any():
-                    got, left = left[near], left[~near]
-                    a.append(np.full(len(got), node[x]))
-                    b.append(node[got])
-                    queue += got.tolist()
+        x, y = _search(fps[s : s + n], node[s : s + n], k)
+        a.append(x)
+        b.append(y)
     label = forest(len(names), np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)]))
     moved = np.flatnonzero(label != np.arange(len(names)))
     return names[moved], names[label[moved]]
@@ -228,7 +276,7 @@ def links(fps: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
     """(a, b): edges whose components are those of all fingerprints (distinct, column fp) within k bits."""
     spark = ready(fps.sparkSession)
     probes = [mask for _, masks in choose(fps, k, parts) for mask in masks] if k else []
-    n = 4 * partitions(spark)
+    n = max(4 * partitions(spark), len(probes) * fps.count() // BUCKET)
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +294,14 @@ def links(fps: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), dtype=np.int32)), pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], schema=SENT_ARROW)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, d in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                held.setdefault(b, []).append(unpack(d, ["u8", "u8"]))
-        for b in list(held):
-            rows = held.pop(b)
+        for _, rows in by_bucket(batches):
+            rows = [unpack(d, ["u8", "u8"]) for d in rows]
             x, y = linked(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), k)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], schema=edge)
+        tidy()
 
-    return fps.select("fp").mapInArrow(spread, SENT).repartition(partitions(spark), "bucket").mapInArrow(meet, "a long, b long")
+    sent = dealt_by(fps.select("fp").mapInArrow(spread, SENT), "bucket", n, "task")
+    return sent.sortWithinPartitions("bucket").select("chunk", "bucket", "data").mapInArrow(meet, "a long, b long")
 
 
 def grouped(found: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -282,11 +328,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
 
 
 def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that found (see grouped()) names as those of their components."""
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(F.xxhash64("doc_id", "text_hash").alias("_kept")).distinct()
+    """The rows of docs that found (see grouped()) names as those of their components; of rows with one doc_id and text one stays."""
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).select(row_key(F.col("doc_id"), F.col("text_hash")).alias("id")).distinct()
     # one key of its own, so that repeated rows go without another shuffle of the texts
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    return keyed.join(ids, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), text_hash(F.col("text"))).alias("key"))
+    return keyed.join(ids, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 5, parts: int = PARTS) -> DataFrame:
