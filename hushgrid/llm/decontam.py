@@ -8,25 +8,29 @@ and these are compared word by word.
 
 Defined cases: a null or empty text has no words and is clean; an item without
 words is no pattern; items that share a window are all reported; an item without an
-id is searched for and its hits count, but it has no name to be listed or counted under; repeated rows
-are reported each; extra columns are dropped. Texts are searched whole.
+id is searched for and its hits count, but it has no name to be listed or counted under; item ids are whole numbers; repeated rows
+are reported each; ``report`` drops extra columns, ``clean`` keeps them, whatever their names. Texts are searched whole.
+
+A benchmark of up to WORDS_A_PASS words is broadcast. A larger one is searched for block by block: one block is broadcast
+at a time, and the texts with what was found so far are written to the shared folder between two.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgrid.llm.runtime import ready
+from hushgrid.llm.runtime import cut, ready
+from hushgrid.llm.words import tidy
 
 WINDOW = 13
 #: Words in a block of the shift table.
 BLOCK = 2
-#: Words of benchmark items that one searcher may hold (about 200 bytes each with its tables); larger benchmarks are searched for in several passes.
+#: Words of benchmark items that are broadcast and searched for at once (about 200 bytes each with the tables).
 WORDS_A_PASS = 1_000_000
 #: Words are runs of 0-9, a-z and all beyond ASCII, after A-Z are lower-cased.
 TABLE = bytes(b if b >= 128 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -104,50 +108,64 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[bytes]
         yield block
 
 
-def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Column:
-    """For column text of docs a struct of n_words, spans of hit words, and items found; no shuffle. A benchmark of any size: a task holds the tables of one block of it at a time."""
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, found): each row of docs, and a struct of n_words, spans of hit words, and items found in its text; no shuffle."""
     spark = ready(docs.sparkSession)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("n_words long, spans array<struct<start:int,end:int>>, items array<long>")
-    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = Searcher(blocks[0].value, window) if len(blocks) == 1 else None
-        for batch in batches:
-            texts = batch.to_pylist()
-            spans: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            counts = [0] * len(texts)
-            for block in blocks or [None]:
-                searcher = kept or Searcher(block.value if block else [], window)
-                for i, text in enumerate(texts):
+    def searched(block: list) -> Callable:
+        held = spark.sparkContext.broadcast(block)
+
+        @F.arrow_udf("n_words long, spans array<struct<start:int,end:int>>, items array<long>")
+        def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tidy()
+            searcher = Searcher(held.value, window)
+            for batch in batches:
+                counts, spans, items = [], [], []
+                for text in batch.to_pylist():
                     w = words(text)
                     s, found = searcher.search(w)
-                    counts[i] = len(w)
-                    spans[i] += s
-                    items[i] |= found
-            out = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in _merged(s)] for s in spans], kind[1].type), pa.array([sorted(x - {None}) for x in items], kind[2].type)]
-            yield pa.StructArray.from_arrays(out, fields=list(kind))
-
-    return search(F.col("text").cast("string"))
+                    counts.append(len(w))
+                    spans.append([{"start": a, "end": z} for a, z in s])
+                    items.append(sorted(found - {None}))
+                yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, kind[1].type), pa.array(items, kind[2].type)], fields=list(kind))
+
+        return search
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def joined(one: pa.Array, two: pa.Array) -> pa.Array:
+        both = [_merged([(x["start"], x["end"]) for x in a + b]) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)]
+        return pa.array([[{"start": a, "end": z} for a, z in spans] for spans in both], kind[1].type)
+
+    own = docs.select(F.struct("*").alias("row"))
+    text = F.col("row.text").cast("string")
+    found = None
+    for block in _blocks(benchmark):
+        if found is None:
+            found = own.withColumn("found", searched(block)(text))
+            continue
+        more = cut(found).withColumn("more", searched(block)(text))
+        spans = joined(F.col("found.spans"), F.col("more.spans"))
+        found = more.select("row", F.struct("found.n_words", spans.alias("spans"), F.array_sort(F.array_union("found.items", "more.items")).alias("items")).alias("found"))
+    return own.withColumn("found", searched([])(text)) if found is None else found
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _found: n_words, spans, items, n_hit, and the verdict: contaminated if at least a twentieth of the words is hit."""
-    found = docs.withColumn("_found", found_in(docs, benchmark, window))
-    n_hit = F.expr("aggregate(_found.spans, 0L, (a, s) -> a + (s.end - s.start))")
-    found = found.withColumn("_found", F.col("_found").withField("n_hit", n_hit))
-    return found.withColumn("_found", F.col("_found").withField("contaminated", (F.col("_found.n_hit") > 0) & (20 * F.col("_found.n_hit") >= F.col("_found.n_words"))))
+    """found_in() with n_hit and the verdict in found: contaminated if at least a twentieth of the words is hit."""
+    found = found_in(docs, benchmark, window)
+    n_hit = F.expr("aggregate(found.spans, 0L, (a, s) -> a + (s.end - s.start))")
+    found = found.withColumn("found", F.col("found").withField("n_hit", n_hit))
+    return found.withColumn("found", F.col("found").withField("contaminated", (F.col("found.n_hit") > 0) & (20 * F.col("found.n_hit") >= F.col("found.n_words"))))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans, items, n_hit, contaminated and n_items for each row of docs."""
-    return find(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "_found.*").withColumn("n_items", F.size("items").cast("long"))
+    return find(docs.select("doc_id", "text"), benchmark, window).select("row.doc_id", "found.*").withColumn("n_items", F.size("items").cast("long"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; all columns stay."""
-    return find(docs, benchmark, window).where("not _found.contaminated").drop("_found")
+    return find(docs, benchmark, window).where("not found.contaminated").select("row.*")
 
 
 def digest(items: list) -> str:

@@ -8,17 +8,17 @@ classifier did on the sample; the least loss names the language. A text is flagg
 the two best codewords are nearly as near.
 
 The model is fitted on a bounded sample: at most ``per_lang`` labelled texts of each
-language and ``MOST_LANGS`` languages. Its size is bounded by these, and it is broadcast.
+language. It holds a table for each bit of the codewords, about 10 log2 of the number of languages, and is broadcast.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous;
 without labelled texts all are ``und``; with one language all others are it, with score 1; ties go
 to the first language in order; repeated rows are predicted each; columns called
-lang_pred, score or ambiguous are replaced, others stay.
+lang_pred, score or ambiguous are replaced, others stay, whatever their names. A null doc_id counts as
+held out in the query: its label is never learned from.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -34,7 +34,6 @@ from hushgrid.llm.words import as_strings, slices, tidy
 
 #: Labelled texts of each language in the sample, at most.
 PER_LANG = 2000
-MOST_LANGS = 200
 #: Entries of the table of each order of n-grams.
 TABLE = 1 << 16
 ORDERS = (3, 4)
@@ -58,7 +57,9 @@ def codewords(k: int) -> np.ndarray:
     for _ in range(50):
         code = rng.choice((-1.0, 1.0), size=(k, math.ceil(10 * math.log2(k))))
         code = code[:, np.abs(code.sum(axis=0)) < k]
-        apart = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
+        alike = code @ code.T
+        np.fill_diagonal(alike, -np.inf)
+        apart = (code.shape[1] - alike.max()) / 2
         if best is None or apart > best[0]:
             best = (apart, code)
     return best[1]
@@ -127,12 +128,12 @@ class Model:
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], DataFrame | None]:
     """The languages, and at most per_lang labelled texts of each, chosen by a hash of doc_id. docs: doc_id, text, lang."""
     labelled = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return [], None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil(min(1.0, 1.3 * per_lang / n) * 1_000_000))])
-    some = labelled.where(draw < F.element_at(share, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(lang, math.ceil(min(1.0, 1.3 * per_lang / n) * 1_000_000)) for lang, n in counts.items()], "l string, share long")
+    some = labelled.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(draw < F.col("share")).select("doc_id", "text", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
     return sorted(counts), some.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).drop("_rank")
 
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     code = codewords(len(langs))
     if len(langs) < 2:
         return Model(langs, code, [np.zeros((0, TABLE), dtype=np.float32) for _ in ORDERS])
-    some = some.select("lang", "text").repartition(4).persist()  # the sample is small whatever the input
+    some = some.select("lang", "text").repartition(4, "lang").persist()  # the sample is small whatever the input
     counted = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +162,16 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         for lang, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=counted)
 
-    counts = np.zeros((len(langs), len(ORDERS), TABLE))
+    # a language's texts are in one task: its counts come in one piece, and are added up by side of each bit at once
+    sides = np.zeros((2, code.shape[1], len(ORDERS), TABLE))
     for lang, data in some.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        counts[langs.index(lang)] += np.frombuffer(data, dtype="<i8").reshape(len(ORDERS), TABLE)
-    share = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=2, keepdims=True)
-    weights = [np.array([np.log(share[code[:, b] > 0, o].mean(axis=0)) - np.log(share[code[:, b] < 0, o].mean(axis=0)) for b in range(code.shape[1])], dtype=np.float32) for o in range(len(ORDERS))]
+        own = np.frombuffer(data, dtype="<i8").reshape(len(ORDERS), TABLE) + SMOOTH
+        own = own / own.sum(axis=1, keepdims=True)
+        for side, sign in enumerate((1, -1)):
+            sides[side, code[langs.index(lang)] == sign] += own
+    sizes = [(code == sign).sum(axis=0)[:, None] for sign in (1, -1)]
+    weights = [(np.log(sides[0, :, o] / sizes[0]) - np.log(sides[1, :, o] / sizes[1])).astype(np.float32) for o in range(len(ORDERS))]
+    del sides
     model = Model(langs, code, weights, np.ones(code.shape[1]))
     held = some.sparkSession.sparkContext.broadcast(model)
 
@@ -200,12 +206,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         tidy()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), [f.type for f in kind], strict=True)], fields=list(kind))
 
-    found = docs.drop("lang_pred", "score", "ambiguous").withColumn("_spoken", spoken(F.col("text").cast("string")))
-    return found.withColumns({c: F.col(f"_spoken.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_spoken")
+    own = docs.drop("lang_pred", "score", "ambiguous")
+    found = own.select(F.struct("*").alias("row"), spoken(F.col("text").cast("string")).alias("said"))
+    return found.select("row.*", "said.lang_pred", "said.score", "said.ambiguous")
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ probability of being good, from all votes at once, replaces passing every rule.
 
 Defined cases: a null or empty text has no words, and all rules that need words abstain; lines
 without a word are no lines; repeated rows are judged each; an empty table gives none; columns of
-the input that clash with those made here are replaced, others stay with ``judge``.
+the input that are called as those made here are replaced, others stay with ``judge``, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,12 +49,12 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def stats(docs: DataFrame) -> DataFrame:
-    """docs with the counts that the rules use, all long. Column text is read whole.
+    """docs, without text, with the counts that the rules use, all long. Column text is read whole.
 
     Each step is a projection of its own: what several expressions use is computed once.
     """
-    own = docs.drop(*STATS, *MORE)
-    own = own.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in (*STATS, *MORE, "text")]
+    own = docs.select(F.struct(*names).alias("_row") if names else F.struct(F.lit(0)).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     own = own.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
     own = own.withColumn("_l", F.expr(r"filter(split(_t, '\n'), l -> l RLIKE r'[^ \t-\r]')"))
     own = own.withColumn("n_words", F.size("_w").cast("long")).withColumn("_c", F.array_join("_w", ""))
@@ -74,7 +74,7 @@ def stats(docs: DataFrame) -> DataFrame:
     own = own.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> named_struct('h', h, 'i', i))) END")).drop("_h")
     own = own.withColumn("_p", F.expr("CASE WHEN _s IS NOT NULL THEN sort_array(transform(filter(_s, (x, j) -> (j > 0 AND get(_s, j - 1).h = x.h) OR (j < size(_s) - 1 AND get(_s, j + 1).h = x.h)), x -> x.i)) END")).drop("_s")
     words = f"CASE WHEN _p IS NULL THEN 0L ELSE aggregate(transform(_p, (p, j) -> CASE WHEN j = size(_p) - 1 THEN {WINDOW}L ELSE least({WINDOW}L, CAST(get(_p, j + 1) - p AS BIGINT)) END), 0L, (a, x) -> a + x) END"
-    return own.withColumn("n_repeat_words", F.expr(words)).drop("_p")
+    return own.withColumn("n_repeat_words", F.expr(words)).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in (*STATS, *MORE, "text")], *STATS, *MORE)
 
 
 def votes(counted: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def judge(docs: DataFrame) -> DataFrame:
     The counts are dear and narrow: they are computed once and kept in the shared folder.
     """
     ready(docs.sparkSession)
-    counted = cut(votes(stats(docs)).drop("text"))
+    counted = cut(votes(stats(docs)))
     names = [f"vote_{r[0]}" for r in RULES]
     rows = counted.groupBy(*names).count().collect()  # at most 3 ** len(RULES), by the rules' number alone
     good, right = estimate(sorted((tuple(r)[:-1], r["count"]) for r in rows))

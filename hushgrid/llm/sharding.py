@@ -69,9 +69,13 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     that a lost executor does not renumber rows.
     """
     ready(docs.sparkSession)
-    numbered = docs.drop("shard", "shard_depth", "shard_bytes", "shard_rows", "oversized").withColumn("_nth", F.monotonically_increasing_id())
-    key_bits = bit_string(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    sizes = cut(numbered.select(F.col(key).alias("_key"), F.concat(key_bits, bit_string(F.col("_nth").cast("string"))).alias("bits"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("size"), "_nth"))
+    return _placed(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("_nth")), limit)
+
+
+def _placed(numbered: DataFrame, limit: int) -> DataFrame:
+    """shards() of (key, text, _nth)."""
+    key_bits = bit_string(F.coalesce(F.col("key").cast("string"), F.lit("null")))
+    sizes = cut(numbered.select(F.col("key").alias("_key"), F.concat(key_bits, bit_string(F.col("_nth").cast("string"))).alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "_nth"))
     return locate(sizes, cut(prefixes(sizes, limit)), limit)
 
 
@@ -85,10 +89,15 @@ def locate(sizes: DataFrame, found: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """docs as Parquet under path, one folder a shard; each shard fits one task."""
-    placed = shards(docs, key, text, limit).select("_nth", "shard")
-    numbered = docs.withColumn("_nth", F.monotonically_increasing_id())
-    numbered.join(placed, "_nth").drop("_nth").repartition("shard").write.partitionBy("shard").parquet(path)
+    """docs as Parquet under path, one folder a shard (a column called shard is replaced); each shard fits one task.
+
+    The rows are numbered once and written to the shared folder with their numbers, which shards and rows are then joined by: wherever docs comes from and whatever is redone, a row keeps its number.
+    """
+    ready(docs.sparkSession)
+    names = [c for c in docs.columns if c != "shard"]
+    held = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("_nth")))
+    placed = _placed(held.select("key", "text", "_nth"), limit).select(F.col("_nth").alias("n"), "shard")
+    held.join(placed, F.col("_nth") == F.col("n")).repartition("shard").select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
