@@ -17,6 +17,7 @@ except ImportError:
 ASCII = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 NOT_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
+REPEAT = re.compile(r"\{\d+(?:,\d*)?\}$")
 FLAGS = re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])")
 
 
@@ -100,8 +101,10 @@ def translate(pattern: str, target: str = "java", fold: bool = False) -> str:
                 i += 3
                 continue
             raise PatternError("look-around and atomic groups are not supported")
-        elif c in "*+?}" and pattern[i + 1 : i + 2] == "+":
+        elif (c in "*+?" or c == "}" and REPEAT.search(pattern, 0, i + 1)) and pattern[i + 1 : i + 2] == "+":
             raise PatternError("possessive repetition is not supported")
+        elif c == "}" and not REPEAT.search(pattern, 0, i + 1):
+            out.append(r"\}")
         elif c == "$" and not multi:
             out.append(r"\z" if target == "java" else r"\Z")
             i += 1

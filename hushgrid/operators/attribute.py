@@ -11,9 +11,10 @@ from hushgrid.sources.catalog import Compiled
 
 
 def unique_blobs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one unit a content, (blob, path) of all units). Contents are compared by SHA-256."""
-    named = units.withColumn("blob", F.sha2("content", 256))
-    one = named.dropDuplicates(["blob"]).withColumns({"source_id": F.col("blob"), "source_kind": F.lit("git_history_blob"), "suppress_path": F.lit(True)})
+    """(one unit a content, the one of least source_id and unit_id, and (blob, path) of all units). Contents are compared by SHA-256."""
+    named = units.drop("blob").withColumn("blob", F.sha2("content", 256))
+    first = F.min_by(F.struct(*[c for c in named.columns if c != "blob"]), F.struct("source_id", "unit_id"))
+    one = named.groupBy("blob").agg(first.alias("_first")).select("blob", "_first.*").withColumns({"source_id": F.col("blob"), "source_kind": F.lit("git_history_blob"), "suppress_path": F.lit(True)})
     return one, named.select("blob", F.col("source_id").alias("path"))
 
 

@@ -1,4 +1,4 @@
-"""Diffs as units: each run of added lines, by gaps and islands over the diff's lines."""
+"""Diffs as units: each run of added lines (removed lines don't part it), by gaps and islands over the diff's lines. Every line of a unit ends in a line end."""
 
 from __future__ import annotations
 
@@ -12,15 +12,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     header = F.col("line").startswith("+++ ")
     target = F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1)
     start = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    marked = lines.withColumns({"_p": F.when(header, F.when(target == "/dev/null", "").otherwise(target)), "_s": F.when(start != "", start.cast("int")), "_added": F.col("line").startswith("+") & ~header})
-    located = marked.withColumns({"path": F.last("_p", True).over(w), "hunk": F.count("_s").over(w), "start": F.last("_s", True).over(w), "_edge": (~F.col("_added")).cast("int")})
+    marked = lines.withColumns({"_p": F.when(header, F.when(target == "/dev/null", "").otherwise(target)), "_s": F.when(start != "", start.cast("int")), "_added": F.col("line").startswith("+") & ~F.col("line").startswith("+++")})
+    edge = header | F.col("line").startswith("@@ ") | F.col("line").startswith(" ")
+    located = marked.withColumns({"path": F.last("_p", True).over(w), "hunk": F.count("_s").over(w), "start": F.last("_s", True).over(w), "_edge": edge.cast("int")})
     return located.withColumn("island", F.sum("_edge").over(w))
 
 
 def hunk_units(lines: DataFrame) -> DataFrame:
     """A unit for each run of added lines, with the line that it starts at."""
     added = parse_lines(lines).where("_added and path is not null and path <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.expr("substring(line, 2)").alias("text")))), lambda x: x["text"]), "\n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.expr("substring(line, 2)"), F.lit("\n")).alias("text")))), lambda x: x["text"]), "")
     islands = added.groupBy("diff_id", "path", "hunk", "island").agg(F.min("start").alias("start"), F.min("n").alias("first"), F.count("*").alias("n_lines"), text.alias("content"))
     before = Window.partitionBy("diff_id", "hunk").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("start") + F.coalesce(F.sum("n_lines").over(before), F.lit(0))

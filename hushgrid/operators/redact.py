@@ -30,13 +30,7 @@ class Redactor:
 
 def redact(text: Column, aliases: list[tuple[str, str, bool]]) -> Column:
     """The same over a column."""
-
-    @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        own = Redactor(aliases)
-        return pa.array([own(t) for t in texts.to_pylist()], pa.string())
-
-    return run(text)
+    return redact_with(text, Redactor(aliases))
 
 
 def redact_with(text: Column, own: Redactor) -> Column:

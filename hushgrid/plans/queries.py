@@ -88,7 +88,7 @@ def sql_found(c: Compiled, units: str = "units") -> str:
     for n, e in enumerate(c.entities):
         what = f"{n} AS n, {quoted(e.id)} AS entity_id, {quoted(e.klass)} AS entity_class, {quoted(e.severity)} AS severity, {quoted(e.replacement)} AS replacement_id"
         lits = [sql_place("content", x) for x in e.literals]
-        found = [f"nullif(strpos(content, regexp_extract(content, {quoted(p)})), CASE WHEN regexp_extract(content, {quoted(p)}) = '' THEN 1 ELSE 0 END)" for p in (PATTERNS[e.id[2:]] for _ in e.patterns)]
+        found = [f"nullif(strpos(content, regexp_extract(content, {quoted(p)})), CASE WHEN regexp_extract(content, {quoted(p)}) = '' THEN 1 ELSE 0 END)" for p in (x.source for x in e.patterns)]
         lit, pat = (f"coalesce({', '.join(x)}, NULL)" if x else "NULL" for x in (lits, found))
         rows.append(f"SELECT unit_id, source_id, content, {what}, 'content' AS surface, CASE WHEN {lit} IS NOT NULL THEN 'literal' ELSE 'regex' END AS shape, CAST(coalesce({lit}, {pat}) AS BIGINT) AS place FROM {units} WHERE coalesce({lit}, {pat}) IS NOT NULL")
         if lits:
@@ -224,8 +224,6 @@ for _name, _entities in {
     "line_column": [entity("e-1", aliases=["the"], case_insensitive=True), entity("e-2", aliases=["que"])],
 }.items():
     _c = compiled(_entities)
-    if _name == "lit_first_match_precedence":
-        _c = compiled([_entities[0]])
     Q[_name] = lambda spark, d, c=_c: _places(spark, d, c)
     SQL[_name] = _places_sql(_c)
 
@@ -555,7 +553,7 @@ def _diff(spark, d):
     return docs.select("doc_id", F.col("pos").alias("at"), F.posexplode(made).alias("k", "line")).select(F.col("doc_id").alias("diff_id"), (F.col("at") * 4 + F.col("k")).cast("long").alias("n"), "line")
 
 
-@query(f"WITH {SQL_DIFF} SELECT diff_id, 'file.txt' AS path, min(i) + 9 AS line_base, string_agg(t, chr(10) ORDER BY i) AS content FROM added GROUP BY diff_id, hunk".replace("min(i) + 9", "CAST(min(i) + 9 AS INTEGER)").replace("SELECT diff_id,", "SELECT CAST(diff_id AS BIGINT) AS diff_id,"))
+@query(f"WITH {SQL_DIFF} SELECT diff_id, 'file.txt' AS path, min(i) + 9 AS line_base, string_agg(t || chr(10), '' ORDER BY i) AS content FROM added GROUP BY diff_id, hunk".replace("min(i) + 9", "CAST(min(i) + 9 AS INTEGER)").replace("SELECT diff_id,", "SELECT CAST(diff_id AS BIGINT) AS diff_id,"))
 def diff_hunks(spark, d):
     lines = _diff(spark, d)
     units = diff.hunk_units(lines.withColumnRenamed("diff_id", "diff_id"))

@@ -7,19 +7,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
 
-from hushgrid.functions.dialect import PatternError, translate
+from hushgrid.functions.dialect import PatternError, engine, translate
 from hushgrid.functions.enums import ENTITY_CLASSES, SEVERITY_RANK, VISIBILITIES, WINDOW_KINDS, rank
 
 ID = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._:-]*$")
 VERSION = re.compile(r"^1\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:[-+][0-9A-Za-z.-]+)?$")
 NEWEST = (1, 1, 0)
+#: What is neither letter nor decimal digit.
+NOT_WORDY = engine.compile(r"[^\p{L}\p{Nd}]+" if engine is not re else r"[\W_]+")
 SHORT = 4
 TEXT, TEXTS, FLAG = "text", "list of texts", "true or false"
 # The fields of each record and their kinds.
@@ -61,6 +62,8 @@ class Pattern:
     java: str
     python: str
     whole_word: bool = False
+    #: As RE2 takes it.
+    source: str = ""
 
 
 @dataclass(frozen=True)
@@ -294,21 +297,14 @@ def unsafe_ids(catalogs: list[Catalog], loading: bool = False) -> None:
 
 def _pattern(pattern: str, at: str, fold: bool = False, whole_word: bool = False) -> Pattern:
     try:
-        return Pattern(translate(pattern, "java", fold), translate(pattern, "python", fold), whole_word)
+        return Pattern(translate(pattern, "java", fold), translate(pattern, "python", fold), whole_word, f"(?i){pattern}" if fold else pattern)
     except (PatternError, ValueError):
         raise CatalogError(f"{at}: not a supported pattern") from None
 
 
 def slugify(text: str, separator: str = "-") -> str:
-    out, gap = [], False
-    for c in text.lower():
-        if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd":
-            out.append(c)
-            gap = False
-        elif not gap:
-            out.append(separator)
-            gap = True
-    return "".join(out).strip(separator)
+    """Small letters and digits; what lies between runs of them becomes one separator."""
+    return NOT_WORDY.sub(separator, text.lower()).strip(separator)
 
 
 def expand(alias: str, variants: dict) -> list[str]:
@@ -345,9 +341,8 @@ def compile_catalogs(catalogs: list[Catalog], visibility: str = "public_oss", th
                     own = form.lower() if fold else form
                     literals.setdefault((own, _whole(form, v)), Literal(own, fold, _whole(form, v)))
             for token in e.get("tokens") or []:
-                if token.strip():
-                    literals.setdefault((token.strip(), True), Literal(token.strip(), False, True))
-            patterns = tuple(_pattern(p, f"/entities/{i}/regex_patterns", fold) for p in e.get("regex_patterns") or [])
+                literals.setdefault((token, True), Literal(token, False, True))
+            patterns = tuple(_pattern(p, f"/entities/{i}/regex_patterns") for p in e.get("regex_patterns") or [])
             entities.append(EntityRule(e["id"], e["class"], e.get("severity_override") or default, e.get("replacement_suggestion") or "", tuple(e.get("allowed_in") or ()), tuple(literals.values()), patterns))
         for r in c.rules:
             if not r.get("apply_in") or visibility in r["apply_in"]:
@@ -356,8 +351,8 @@ def compile_catalogs(catalogs: list[Catalog], visibility: str = "public_oss", th
             v = a.get("variants") or {}
             fold = bool(v.get("case_insensitive"))
             if a["kind"] == "literal":
-                text = a["pattern"].strip()
-                allow.append(AllowRule(a["id"], (Literal(text.lower() if fold else text, fold, _whole(text, v)),), ()))
+                text = a["pattern"]
+                allow.append(AllowRule(a["id"], (Literal(text.lower() if fold else text, fold, _whole(text.strip(), v)),), ()))
             else:
                 allow.append(AllowRule(a["id"], (), (_pattern(a["pattern"], f"/allowlist/{i}/pattern", fold, bool(v.get("whole_word"))),)))
     return Compiled(tuple(entities), tuple(rules), tuple(allow), threshold, visibility)
