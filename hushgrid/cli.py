@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import datetime as dt
 import json
 import os
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="hushgrid")
     sub = p.add_subparsers(dest="command", required=True)
     scan = sub.add_parser("scan")
-    scan.add_argument("root", nargs="?", default=".")
+    scan.add_argument("roots", nargs="*")
     audit = sub.add_parser("audit-publish")
     audit.add_argument("root", nargs="?", default=".")
     for x in (scan, audit):
@@ -37,11 +38,11 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--allow-skips", action="append", default=[], metavar="REASON=N")
         x.add_argument("--findings-table", metavar="PATH", help="where findings go, as Parquet, if they are too many for a document")
         x.add_argument("--format", choices=("json", "human"), default="json")
-        x.add_argument("--explain-suppressions", action="store_true")
+        x.add_argument("--explain", "--explain-suppressions", action="store_true", help="say on stderr what exceptions took away")
     kinds = scan.add_mutually_exclusive_group()
     kinds.add_argument("--staged", action="store_true")
     kinds.add_argument("--diff", metavar="BASE")
-    kinds.add_argument("--git-archive", metavar="REF")
+    kinds.add_argument("--git-archive", metavar="REF", nargs="?", const="HEAD")
     kinds.add_argument("--git-history-all", action="store_true")
     kinds.add_argument("--branch-name-stdin", action="store_true")
     kinds.add_argument("--commit-msg-stdin", action="store_true")
@@ -70,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     attest.add_argument("--catalog", action="append", required=True)
     attest.add_argument("--base")
     attest.add_argument("--operator", default="")
+    attest.add_argument("--mode", choices=MODES)
     verify.add_argument("--max-age", default="72h")
     verify.add_argument("--allow-hash", action="append", default=[])
     return p
@@ -83,6 +85,12 @@ def session():
     return spark
 
 
+def say(line: str) -> None:
+    """A line on stderr; that nobody reads it must not fail a scan."""
+    with contextlib.suppress(OSError):
+        print(line, file=sys.stderr, flush=True)
+
+
 def loaded(args) -> tuple[list, dict | None, list[dict]]:
     """(catalogs, configuration, warnings): those that the configuration refers to first, then those given."""
     from hushgrid.plans.document import config_warning
@@ -105,10 +113,16 @@ def do_scan(args) -> int:
 
     try:
         allowances = parse_allowances(args.allow_skips)
+        if args.git_archive is not None:
+            args.root, args.git_archive = git.archive_target(args.roots, args.git_archive)
+        elif len(args.roots) > 1:
+            raise ValueError("more than one folder")
+        else:
+            args.root = args.roots[0] if args.roots else "."
     except ValueError as e:
         raise CatalogError(str(e)) from None
     catalogs, config, warnings = loaded(args)
-    options = {"visibility": C.visibility(args.visibility, config), "threshold": C.threshold(args.mode, config), "mode": args.mode, "allowances": allowances, "warnings": warnings, "table": args.findings_table}
+    options = {"say": say, "explain": args.explain, "visibility": C.visibility(args.visibility, config), "threshold": C.threshold(args.mode, config), "mode": args.mode, "allowances": allowances, "warnings": warnings, "table": args.findings_table}
     spark, skips, folder = session(), None, None
     try:
         if args.git_history_all:
@@ -144,7 +158,7 @@ def do_audit(args) -> int:
     from hushgrid.plans import document, scan
 
     catalogs, config, _ = loaded(args)
-    report = scan.run_audit(session(), args.root, catalogs, args.remote, args.primary, C.visibility(args.visibility, config), C.threshold(args.mode, config), args.names_only, not args.tags_only, not args.branches_only, args.mode, parse_allowances(args.allow_skips), args.findings_table)
+    report = scan.run_audit(session(), args.root, catalogs, args.remote, args.primary, C.visibility(args.visibility, config), C.threshold(args.mode, config), args.names_only, not args.tags_only, not args.branches_only, args.mode, parse_allowances(args.allow_skips), args.findings_table, say)
     sys.stdout.write(document.dumps(report.document))
     for name in report.document["leak_vector_refs"]:
         print(f"warning: {name} would publish what the primary does not", file=sys.stderr)
@@ -188,19 +202,31 @@ def operator_label(text: str) -> str:
 
 
 def do_attest(args) -> int:
-    """Scan and write a record of it: what was scanned, with which catalogs (by hash), and what came out."""
+    """Scan what the base lacks (in a bare repository all of HEAD) and write a record of it: what was scanned, with which catalogs (by hash), and what came out. A scan that doesn't pass leaves no record."""
     from hushgrid.plans import scan
 
     catalogs = [load_file(c) for c in args.catalog]
-    spark = session()
-    units, skips = (git.read_diff(spark, args.root, args.base), None) if args.base else read_folder(spark, args.root)
-    report = scan.run_scan(units, skips, catalogs)
+    spark, folder, bare = session(), None, git.is_bare(args.root)
+    try:
+        if bare:
+            units, skips, folder = git.read_archive(spark, args.root, "HEAD")
+        else:
+            units, skips = (git.read_diff(spark, args.root, args.base), None) if args.base else read_folder(spark, args.root)
+        report = scan.run_scan(units, skips, catalogs, mode=args.mode, say=say)
+    finally:
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
+    if report.exit_code:
+        say("attest: the scan did not pass; no record is written")
+        return report.exit_code
     record = {"version": "v0", "scan_timestamp": dt.datetime.now(dt.UTC).isoformat(), "commit": git.git(args.root, "rev-parse", "HEAD").decode().strip(), "catalog_hash": content_hash({c: Path(c).read_bytes() for c in args.catalog}), "operator": operator_label(args.operator), "exit_code": report.exit_code, "summary": report.document["summary"]}
     path = os.path.join(args.root, args.file)
     os.makedirs(os.path.dirname(path), exist_ok=True)
     Path(path).write_text(json.dumps(record, indent=2) + "\n", encoding="utf-8")
-    git.git(args.root, "add", "--", args.file)
-    return report.exit_code
+    if not bare:
+        git.git(args.root, "add", "--", args.file)
+    say(f"attestation written{'' if bare else ' and staged'}: {args.file}")
+    return 0
 
 
 def verify(record: dict, head: str, parent: str | None, only_record_changed: bool, max_age: dt.timedelta, hashes: list[str], now: dt.datetime) -> list[str]:
@@ -242,6 +268,9 @@ def main(argv: list[str] | None = None) -> int:
     except CatalogError as e:
         print(f"configuration: {e}", file=sys.stderr)
         return 2
+    except git.GitError as e:  # names git's command alone
+        print(f"runtime: {e}", file=sys.stderr)
+        return 3
     except Exception as e:  # noqa: BLE001  what went wrong may hold protected values
         print(f"runtime: {type(e).__name__}", file=sys.stderr)
         return 3

@@ -15,6 +15,7 @@ from hushgrid.functions.globs import name_glob
 from hushgrid.operators import attribute, counts, coverage, diff, publish
 from hushgrid.operators.detect import FINDING, Compiled, detect, detect_native
 from hushgrid.operators.redact import redact
+from hushgrid.plans import fixtures
 from hushgrid.sources import ignore, tables
 from hushgrid.sources.catalog import _check, compile_catalogs
 
@@ -379,10 +380,11 @@ def cooccur_anchor(spark, d):
     return findings_of(spark, d).where("detector_id = 'co-occurrence'").select("unit_id", "rule_id", "entity_id", "surface", "line", "col", "decision", "replacement_id", "fingerprint")
 
 
-TERMS = compiled(WORDS[:2], [{"rule_id": "r-1", "terms": ["e-terms", "e-owner"], "window_kind": "file"}], COVER)
+PARTLY = [{"id": "al-1", "kind": "literal", "pattern": "Public License, Version", "variants": {"case_insensitive": True}}]
+TERMS = compiled([WORDS[0], WORDS[2]], [{"rule_id": "r-1", "terms": ["e-terms", "e-time"], "window_kind": "file"}], PARTLY)
 
 
-@query(f"WITH {sql_allow(_span('apache license', 'al-1', True), ('license', 'apache'))} SELECT doc_id AS unit_id, 'r-1' AS rule_id FROM judged WHERE cover IS NULL GROUP BY doc_id HAVING count(DISTINCT n) = 2")
+@query(f"WITH {sql_allow(_span('public license, version', 'al-1', True), ('license', 'version'))} SELECT doc_id AS unit_id, 'r-1' AS rule_id FROM judged WHERE cover IS NULL GROUP BY doc_id HAVING count(DISTINCT n) = 2")
 def cooccur_suppressed(spark, d):
     return findings_of(spark, d, TERMS).where("detector_id = 'co-occurrence'").select("unit_id", "rule_id")
 
@@ -521,7 +523,15 @@ def redact_text(spark, d):
     return docs.select("doc_id", redact(F.col("text"), [("license", "e-terms", True)]).alias("text"))
 
 
-@query()
+#: Aliases first become characters that no alias holds, the longest first, and those the markers: one pass, as the redactor makes it.
+SQL_REDACTED = "text"
+for _rx, _mark in (("Apache License", 1), ("(?i)license", 2), ("(?i)apache", 3), ("(?i)terms", 4)):
+    SQL_REDACTED = f"regexp_replace({SQL_REDACTED}, '{_rx}', chr({0xE000 + _mark}), 'g')"
+for _mark, _id in enumerate(("e-both", "e-terms", "e-owner", "e-x"), 1):
+    SQL_REDACTED = f"replace({SQL_REDACTED}, chr({0xE000 + _mark}), '<r:{_id}>')"
+
+
+@query(f"SELECT doc_id, sha256({SQL_REDACTED}) AS sha256 FROM documents")
 def redact_many(spark, d):
     aliases = [("license", "e-terms", True), ("Apache License", "e-both", False), ("apache", "e-owner", True), ("terms", "e-x", True)]
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -562,4 +572,5 @@ def diff_hunks(spark, d):
     return units.join(named, "unit_id").select("diff_id", F.col("source_id").alias("path"), "line_base", "content")
 
 
-QUERIES, ORACLE_SQL = Q, SQL
+QUERIES = {**Q, **fixtures.QUERIES, "stream_findings": fixtures.fx_stream}
+ORACLE_SQL = {**SQL, **fixtures.ORACLE_SQL, "stream_findings": f"WITH {sql_findings(MAIN)} SELECT unit_id, entity_id, surface, fingerprint FROM findings"}

@@ -1,7 +1,7 @@
 """Git repositories as tables, read through the git program.
 
-Small things (refs, commits, trees) are listed on the driver; blobs are read by tasks, each
-through one long-lived ``cat-file --batch``, so that a history of any length is spread out. Tasks
+Names of refs and commits are listed on the driver; histories of refs, trees, messages and blobs are read
+by tasks (blobs through a long-lived ``cat-file --batch``, after a probe of their size), so that a history of any length is spread out. Tasks
 need the repository at the same path (a shared folder, or a bundle unpacked by each).
 """
 
@@ -11,11 +11,12 @@ import os
 import subprocess
 import tarfile
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hushgrid.functions.enums import BINARY_EXTENSIONS, SIZE_CAP
 from hushgrid.functions.text import extension
@@ -93,33 +94,76 @@ def tree(root: str, commit: str) -> list[tuple[str, str]]:
     return out
 
 
+def _spread(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A list of names, dealt out evenly."""
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
+
+
+def _each(df: DataFrame, schema: str, rows_of: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
+    """The rows that a function makes of each row of df, in tasks."""
+    kind = df.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made = list(rows_of(row))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def trees(commit_rows: DataFrame, root: str) -> DataFrame:
+    """(blob, commit, path) of the commits (column commit); each tree is listed by a task."""
+    return _each(commit_rows.select("commit"), "blob string, commit string, path string", lambda row: ((b, row[0], p) for b, p in tree(root, row[0])))
+
+
 def blob_attr(spark: SparkSession, root: str) -> DataFrame:
     """(blob, commit, path) over all commits."""
     check(root)
-    return spark.createDataFrame([(b, c, p) for c in commits(root) for b, p in tree(root, c)], "blob string, commit string, path string")
+    return trees(_spread(spark, [(c,) for c in commits(root)], "commit string"), root)
+
+
+def messages(spark: SparkSession, root: str) -> DataFrame:
+    """(source_id, content): each commit's message, read by tasks."""
+    rows = _spread(spark, [(c,) for c in commits(root)], "commit string")
+    return _each(rows, "source_id string, content string", lambda row: iter([(row[0], _text(git(root, "log", "-1", "--format=%B", row[0])))]))
 
 
 def read_blobs(blobs: DataFrame, root: str, cap: int = SIZE_CAP) -> DataFrame:
-    """blob, size and content (null beyond the cap) of each row's blob."""
+    """blob, size and content (null beyond the cap, which is known before anything is read) of each row's blob."""
     schema = pa.schema([("blob", pa.string()), ("n_bytes", pa.int64()), ("content", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        pipes = {"stdin": subprocess.PIPE, "stdout": subprocess.PIPE}
+        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch-check"], **pipes) as probe, subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], **pipes) as p:
+
+            def ask(process: subprocess.Popen, blob: str) -> int:
+                process.stdin.write(f"{blob}\n".encode())
+                process.stdin.flush()
+                head = process.stdout.readline().split()
+                return int(head[2]) if len(head) == 3 else -1
+
             for batch in batches:
-                rows = []
                 for blob in batch["blob"].to_pylist():
-                    p.stdin.write(f"{blob}\n".encode())
-                    p.stdin.flush()
-                    head = p.stdout.readline().split()
-                    size = int(head[2]) if len(head) == 3 else -1
-                    data = p.stdout.read(size + 1)[:-1] if size >= 0 else b""
-                    rows.append({"blob": blob, "n_bytes": size, "content": _text(data) if 0 <= size <= cap else None})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    size = ask(probe, blob)
+                    content = _text(p.stdout.read(ask(p, blob) + 1)[:-1]) if 0 <= size <= cap else None
+                    yield pa.RecordBatch.from_pylist([{"blob": blob, "n_bytes": size, "content": content}], schema=schema)
 
     return blobs.select("blob").mapInArrow(run, "blob string, n_bytes long, content string")
 
 
+def blob_skips(attr: DataFrame, found: DataFrame) -> DataFrame:
+    """Skips of blobs: those all of whose paths are binary, those that can't be read and those over the cap. attr: blob, path; found: read_blobs() of the rest."""
+    binary = extension(F.col("path")).isin(*BINARY_EXTENSIONS)
+    all_binary = attr.groupBy("blob").agg(F.every(binary).alias("all"), F.min("path").alias("source_id"))
+    unread = found.where("content is null").join(attr.groupBy("blob").agg(F.min("path").alias("source_id")), "blob")
+    rows = all_binary.where("all").select("blob", F.col("blob").alias("source_id"), F.lit("binary_detected").alias("reason"))
+    rows = rows.unionByName(unread.select("blob", "source_id", F.when(F.col("n_bytes") < 0, "unreadable").otherwise("file_too_large").alias("reason")))
+    return rows.select("source_id", "reason", F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("represented"), F.lit(None).cast("string").alias("gap"), F.lit(False).alias("coverage_excluded"), F.lit(False).alias("legacy_excluded"), "blob")
+
+
 def read_history(spark: SparkSession, root: str, cap: int = SIZE_CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units of unique blobs and commit messages, skips, attributions to readable paths)."""
     attr = blob_attr(spark, root)
@@ -129,15 +173,17 @@ def read_history(spark: SparkSession, root: str, cap: int = SIZE_CAP) -> tuple[D
     texts = found.where("content is not null").select(F.col("blob").alias("source_id"), "content", "n_bytes", "blob")
     units = as_file_units(texts, "git_history_blob").withColumn("suppress_path", F.lit(True)).withColumn("blob", F.col("source_id"))
     none = F.lit(None).cast("string")
-    skipped = [
-        attr.where(binary).select(F.col("path").alias("source_id"), F.lit("binary_detected").alias("reason"), F.lit(True).alias("coverage_excluded"), F.lit(True).alias("legacy_excluded"), "blob"),
-        attr.groupBy("blob").agg(F.every(binary).alias("all"), F.min("path").alias("source_id")).where("all").select("source_id", F.lit("binary_detected").alias("reason"), F.lit(False).alias("coverage_excluded"), F.lit(False).alias("legacy_excluded"), "blob"),
-        found.where("content is null").select(F.col("blob").alias("source_id"), F.when(F.col("n_bytes") < 0, "unreadable").otherwise("file_too_large").alias("reason"), F.lit(False).alias("coverage_excluded"), F.lit(False).alias("legacy_excluded"), "blob"),
+    place = F.struct("commit", "path")
+    first = attr.groupBy("blob").agg(F.every(binary).alias("all"), F.min(place)["path"].alias("any"), F.min(F.when(~binary, place))["path"].alias("text"))
+    yes, no = F.lit(True), F.lit(False)
+    skipped = [  # a binary path counts where it is, a blob that has no other paths counts once for coverage
+        attr.where(binary).select(F.col("path").alias("source_id"), F.lit("binary_detected").alias("reason"), yes.alias("coverage_excluded"), no.alias("legacy_excluded"), "blob"),
+        first.where("all").select(F.col("any").alias("source_id"), F.lit("binary_detected").alias("reason"), no.alias("coverage_excluded"), yes.alias("legacy_excluded"), "blob"),
+        found.where("content is null").join(first, "blob").select(F.col("text").alias("source_id"), F.when(F.col("n_bytes") < 0, "unreadable").otherwise("file_too_large").alias("reason"), no.alias("coverage_excluded"), no.alias("legacy_excluded"), "blob"),
     ]
     skips = skipped[0].unionByName(skipped[1]).unionByName(skipped[2])
     skips = skips.select("source_id", "reason", F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("represented"), none.alias("gap"), "coverage_excluded", "legacy_excluded", "blob")
-    messages = [(c, _text(git(root, "log", "-1", "--format=%B", c))) for c in commits(root)]
-    said = as_file_units(spark.createDataFrame(messages, "source_id string, content string"), "git_commit_message").withColumn("git_ref", F.col("source_id"))
+    said = as_file_units(messages(spark, root), "git_commit_message").withColumn("git_ref", F.col("source_id"))
     return units.unionByName(said), skips, readable
 
 
@@ -161,23 +207,43 @@ def refs(root: str, remote: str | None = None) -> list[tuple[str, str, str, str,
     return out
 
 
+def short_name(ref: str) -> str:
+    """A branch's or tag's name without where it lies."""
+    ref = ref.strip()
+    return next((ref.removeprefix(p) for p in ("refs/heads/", "refs/tags/") if ref.startswith(p)), ref)
+
+
 def primary(root: str, remote: str | None = None, override: str | None = None) -> str:
-    if override:
-        return override
-    if remote:
-        try:
-            for line in _text(git(root, "ls-remote", "--symref", remote, "HEAD")).splitlines():
-                if line.startswith("ref: refs/heads/"):
-                    return line.split()[1].removeprefix("refs/heads/")
-        except GitError:
-            pass
+    """The short name of the ref that others are compared with: the one given, else where the remote's HEAD points to, else main."""
+    if override and override.strip():
+        return short_name(override)
+    try:
+        for line in _text(git(root, "ls-remote", "--symref", remote or "origin", "HEAD")).splitlines():
+            if line.startswith("ref:") and line[4:].split() and line[4:].split()[0].startswith(("refs/heads/", "refs/tags/")):
+                return short_name(line[4:].split()[0])
+    except GitError:
+        pass
     return "main"
 
 
 def publish_surface(spark: SparkSession, root: str, scanned: list[tuple[str, str]]) -> DataFrame:
-    """(blob, path, ref) of all commits that each (ref, tip) reaches; the tree of each commit is listed once."""
+    """(blob, path, ref) of all commits that each (ref, tip) reaches. Refs are followed and trees listed by tasks, the tree of each commit once."""
     check(root, True)
-    of_ref = {name: commits(root, tip) for name, tip in scanned}
-    ref_commits = spark.createDataFrame([(n, c) for n, cs in of_ref.items() for c in cs], "ref string, commit string")
-    trees = spark.createDataFrame([(c, b, p) for c in sorted({c for cs in of_ref.values() for c in cs}) for b, p in tree(root, c)], "commit string, blob string, path string")
-    return ref_commits.join(trees, "commit").select("blob", "path", "ref").distinct()
+    reached = _each(_spread(spark, scanned, "ref string, tip string"), "ref string, commit string", lambda row: ((row[0], c) for c in commits(root, row[1]))).persist()
+    return reached.join(trees(reached.select("commit").distinct(), root), "commit").select("blob", "path", "ref").distinct()
+
+
+def archive_target(given: list[str], ref: str) -> tuple[str, str]:
+    """(folder, ref) of ``scan [REPO] --git-archive [REF]``: one argument is a folder if there is one of that name, else a ref; of two the first is a folder."""
+    ref = ref.strip() or "HEAD"
+    if len(given) > 1:
+        if not os.path.exists(given[0]):
+            raise ValueError("the first of two arguments is an existing folder")
+        return given[0], given[1]
+    if given:
+        return (given[0], ref) if os.path.exists(given[0]) else (".", given[0])
+    return ".", ref
+
+
+def is_bare(root: str) -> bool:
+    return git(root, "rev-parse", "--is-bare-repository").strip() == b"true"

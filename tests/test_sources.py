@@ -133,7 +133,7 @@ def test_git_sources(spark, repo):
     assert [(r[0], r[2]) for r in git.refs(root)] == [("backup/old", "branch"), ("main", "branch"), ("v1", "tag")]
     assert git.refs(root)[1][3] == git.refs(root)[2][3]
     diff = git.read_diff(spark, root, "backup/old").collect()
-    assert sorted((r.source_id, r.line_base, r.content) for r in diff) == [("a.txt", 1, "line one"), ("c.txt", 1, "x\nnew zorblat")]
+    assert sorted((r.source_id, r.line_base, r.content) for r in diff) == [("a.txt", 1, "line one\n"), ("c.txt", 1, "x\nnew zorblat\n")]
     (path / "d.txt").write_text("staged zorblat")
     run("add", "d.txt")
     (path / "d.txt").write_text("later")
