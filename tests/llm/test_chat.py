@@ -51,3 +51,11 @@ def test_odd_rows(spark, rows):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", "y", "z")], TURNS + ", formatted string, loss string")
     assert chat.digests(chat.format_turns(df)).collect()[0].n_turns == 1
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = "<|im_end|> word \n" * 60_000
+    rows = [(7, i, "assistant" if i % 2 else "user", long if i < 2 else f"t{i}") for i in range(3000)]
+    got = chat.digests(chat.format_turns(spark.createDataFrame(rows, TURNS).repartition(4))).collect()[0]
+    assert got.n_turns == 3000 and got.turns_sha256 == sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+    assert got.loss_sha256 == sha256("".join(r[3] for r in rows if r[1] % 2).encode()).hexdigest()

@@ -34,6 +34,18 @@ def test_odd_rows_pass(spark, docs, empty, sf_dir):
         assert table.count() >= 0
 
 
+def test_columns_of_any_name_stay(spark, clashing, rows, sf_dir):
+    """Every stage but the last keeps all columns, with their values, whatever the stage calls its own."""
+    table = clashing.drop("text_hash")
+    own = [c for c in table.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf_dir)
+        assert out.columns == table.columns, name
+        got = out.select(*own).distinct().collect()
+        assert [tuple(r) for r in got] == [("x",) * len(own)], name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() >= len(rows)
+
+
 def test_one_query_an_operator():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
