@@ -34,6 +34,8 @@ from hushgrid.llm.words import as_strings, slices, tidy
 
 #: Labelled texts of each language in the sample, at most.
 PER_LANG = 2000
+#: Bytes of text looked at at once: what is held for each byte is many times as large.
+SLICE = 1 << 19
 #: Entries of the table of each order of n-grams.
 TABLE = 1 << 16
 ORDERS = (3, 4)
@@ -154,11 +156,12 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             names = np.array(batch["lang"].to_pylist())
             for lang in sorted(set(names)):
                 own = batch.filter(pa.array(names == lang))["text"]
-                for s, e in slices(as_strings(own)):
+                for s, e in slices(as_strings(own), SLICE):
                     data, starts = framed(own.slice(s, e - s).to_pylist())
                     total = held.setdefault(lang, np.zeros((len(ORDERS), TABLE), dtype=np.int64))
-                    for i, at in enumerate(grams(data)):
-                        total[i] += np.bincount(at, minlength=TABLE)
+                    for i, (at, n) in enumerate(zip(grams(data), ORDERS, strict=True)):
+                        across = (starts[1:-1, None] - np.arange(1, n)).ravel()  # from one text into the next
+                        total[i] += np.bincount(np.delete(at, across[across < len(at)]), minlength=TABLE)
         for lang, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=counted)
 
@@ -178,7 +181,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(code.shape[1], dtype=np.int64), 0
         for batch in batches:
-            for s, e in slices(as_strings(batch["text"])):
+            for s, e in slices(as_strings(batch["text"]), SLICE):
                 m = held.value.margins(batch["text"].slice(s, e - s).to_pylist())
                 right += (m * code[[langs.index(x) for x in batch["lang"].slice(s, e - s).to_pylist()]] > 0).sum(axis=0)
                 n += len(m)
@@ -202,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
     def spoken(texts: pa.Array) -> pa.Array:
         own = held.value
-        out = [x for s, e in slices(as_strings(texts)) for x in own.predict(texts.slice(s, e - s).to_pylist())]
+        out = [x for s, e in slices(as_strings(texts), SLICE) for x in own.predict(texts.slice(s, e - s).to_pylist())]
         tidy()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), [f.type for f in kind], strict=True)], fields=list(kind))
 

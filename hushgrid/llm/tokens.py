@@ -14,6 +14,8 @@ would compose with the letter: before ASCII and before the letters U+00C0 to U+0
 from __future__ import annotations
 
 import os
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +39,29 @@ ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 SMALL, CAPITAL = (np.isin(np.arange(256), [x for x in r if x not in (0x97, 0xB7)]) for r in (range(0x9F, 0xC0), range(0x80, 0x9F)))
 
 _OPEN: dict[str, Encoder] = {}
+#: When it was used last, and after how many seconds it goes.
+_USED, IDLE = [0.0], 4
 KEPT.append(_OPEN)
 
 
 def encoder(path: str) -> Encoder:
     """The encoder of a tokenizer file, one a worker."""
+    _USED[0] = time.monotonic()
     if path not in _OPEN:
         _OPEN.clear()
         _OPEN[path] = Encoder(path)
+        threading.Thread(target=_watch, daemon=True).start()
     return _OPEN[path]
 
 
+def _watch() -> None:
+    """Give the encoder up when no task of this worker has used it for a while: idle workers live on."""
+    while _OPEN and time.monotonic() - _USED[0] < IDLE:
+        time.sleep(0.5)
+    _OPEN.clear()
+    tidy()
+
+
 def folded(texts: pa.Array) -> pa.Array:
     """texts with A-Z and the capitals from U+00C0 to U+00DE as small letters, and a space before ASCII punctuation that ends a word after a letter or digit; neither where a mark might follow."""
     data, offsets = spans(texts)
@@ -135,6 +149,7 @@ class Encoder:
         for at, to in slices(texts, SLICE):
             yield at, *self.batch(texts.slice(at, to - at))
             self.seen += SLICE
+            _USED[0] = time.monotonic()
             if self.seen > TIDY:
                 self.seen = 0
                 tidy(_OPEN)

@@ -41,7 +41,7 @@ def tidy(own: dict | None = None) -> None:
         _TRIM(0)
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about limit bytes of text; a longer text is a range of its own."""
     if not len(texts):
         return

@@ -54,6 +54,22 @@ def test_words_forgotten_are_learned_again(monkeypatch):
     assert got == whole(texts) and len(e.kept) < 40
 
 
+def test_an_idle_worker_gives_its_encoder_up(monkeypatch):
+    import time
+
+    from hushgrid.llm import tokens
+
+    tokens._OPEN.clear()
+    monkeypatch.setattr(tokens, "IDLE", 0.2)
+    e = tokens.encoder(PATH)
+    assert tokens.encoder(PATH) is e
+    for _ in range(50):
+        time.sleep(0.1)
+        if not tokens._OPEN:
+            break
+    assert not tokens._OPEN and e.plain(["x"]) == whole(["x"])
+
+
 def check(found, rows, capacity, end_id=1):
     ids = defaultdict(list)
     for r in rows:

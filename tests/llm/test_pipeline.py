@@ -1,8 +1,10 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
-from hushgrid.llm import queries
+from hushgrid.llm import langid, queries
 from hushgrid.llm.simhash import fingerprint
+from tests.llm import test_decontam, test_neardup, test_packing
 
 
 def test_stages_follow_each_other(spark, sf_dir):
@@ -20,6 +22,44 @@ def test_stages_follow_each_other(spark, sf_dir):
     assert sorted(map(tuple, whole[key].values)) == sorted(map(tuple, packed[key].values))
 
 
+def plain_cut(rows, window=13):
+    """Each word of a window that starts in a document of smaller id goes, with the white space after it."""
+    first = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            first[g] = min(d, first.get(g, d))
+    out = []
+    for d, t in rows:
+        pieces = re.findall(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", t or "")
+        w, gone = [p[0] for p in pieces], set()
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < d:
+                gone |= set(range(k, k + window))
+        lead = re.match(r"[\x20\x09-\x0D]*", t or "")[0]
+        out.append((d, lead + "".join(a + b for i, (a, b) in enumerate(pieces) if i not in gone) if gone else t))
+    return out
+
+
+def test_against_a_plain_version(spark):
+    """All stages, one after the other, by all pairs and all windows."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [r for r, (lang, _, ambiguous) in zip(rows, model.predict([t for _, t in rows]), strict=True) if lang != langid.UND and not ambiguous]
+    left = set(test_neardup.brute_kept(rows))
+    rows = plain_cut([r for r in rows if r[0] in left])
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    bad = {d for d, *_, contaminated in test_decontam.brute(rows, items) if contaminated}
+    rows = [r for r in rows if r[0] not in bad]
+    assert 0 < len(rows) < docs.count()
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    test_packing.check(found, rows, 4096)
+    assert Counter(r.doc_id for r in found if r.piece == 0) == Counter(d for d, _ in rows)
+
+
 def test_exact_copies_go(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     left = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
