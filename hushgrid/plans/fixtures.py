@@ -12,10 +12,12 @@ import io
 import os
 import shutil
 import subprocess
+import sys
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
+from unittest import mock
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,14 @@ def write(root: str, contents: dict[str, str]) -> str:
     return root
 
 
+@contextlib.contextmanager
+def console(spark: SparkSession, given: str = "") -> Iterator[io.StringIO]:
+    """The command line with this session, nothing shown; gives what goes to stderr."""
+    err = io.StringIO()
+    with mock.patch.object(cli, "session", lambda: spark), mock.patch.object(sys, "stdin", io.StringIO(given)), contextlib.redirect_stderr(err), contextlib.redirect_stdout(io.StringIO()):
+        yield err
+
+
 def run_git(root: str, *args: str) -> None:
     subprocess.run(["git", "-C", root, "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
 
@@ -448,8 +458,7 @@ def fx_stderr(spark):
     """Lines for people: redacted, in order, of folders the number of files alone."""
     own = {k: v for k, v in BASE.items() if k != "$schema"} | {"entities": [E | FOLD], "allowlist": [{"id": "al-1", "kind": "literal", "pattern": "zorblat-public"}]}
     root = write(folder(), {"c/c.yaml": yaml.safe_dump(own), "r/zorblat-out/a": "1", "r/zorblat-out/b": "2", "r/a.png": "p", "r/k.txt": "a zorblat-public b", "r/zorblat-public.txt": "x", "r/.gitignore": "*-out/\n"})
-    err = io.StringIO()
-    with contextlib.redirect_stderr(err), contextlib.redirect_stdout(io.StringIO()):
+    with console(spark) as err:
         cli.main(["scan", f"{root}/r", "--catalog", f"{root}/c/c.yaml", "--explain"])
     return list(enumerate(err.getvalue().splitlines()))
 
@@ -459,19 +468,11 @@ EXITS = {"clean": 0, "finding": 1, "no catalog": 2, "bad allowance": 2, "no such
 
 @known("name string, code long", list(EXITS.items()))
 def fx_exit_codes(spark):
-    import sys
-
     root = write(folder(), {"c.yaml": yaml.safe_dump(BASE | {"entities": [E | FOLD]}), "m.yaml": yaml.safe_dump(BASE | {"entities": [E | FOLD | {"severity_override": "medium"}]}), "clean/a.txt": "x", "hit/a.txt": "zorblat", "gap/a.png": "p", "gap/b.txt": "b"})
     c, m = ["--catalog", f"{root}/c.yaml"], ["--catalog", f"{root}/m.yaml"]
     runs = {"clean": [f"{root}/clean", *c], "finding": [f"{root}/hit", *c], "no catalog": [f"{root}/hit"], "bad allowance": [f"{root}/hit", *c, "--allow-skips", "x"], "no such folder": [f"{root}/none", *c], "release with a gap": [f"{root}/gap", *c, "--mode", "release"], "release agreed to": [f"{root}/gap", *c, "--mode", "release", "--allow-skips", "binary_detected=1"], "warn tier": [f"{root}/hit", *m], "warn tier at release": [f"{root}/hit", *m, "--mode", "release"], "branch name": [".", *c, "--branch-name-stdin"]}
-    out, given = [], sys.stdin
-    try:
-        sys.stdin = io.StringIO("feat/zorblat\n")
-        with contextlib.redirect_stderr(io.StringIO()), contextlib.redirect_stdout(io.StringIO()):
-            out = [(name, cli.main(["scan", *args])) for name, args in runs.items()]
-    finally:
-        sys.stdin = given
-    return out
+    with console(spark, "feat/zorblat\n"):
+        return [(name, cli.main(["scan", *args])) for name, args in runs.items()]
 
 
 @known("given string, folder string, ref string", [("", ".", "HEAD"), ("/", "/", "HEAD"), ("v1", ".", "v1"), ("/ v2", "/", "v2"), ("nowhere-at-all v2", None, None)])
@@ -494,7 +495,7 @@ def fx_commands(spark):
     run_git(repo, "init", "-q", "-b", "main")
     run_git(repo, "add", ".")
     run_git(repo, "commit", "-qm", "one")
-    with contextlib.redirect_stderr(io.StringIO()), contextlib.redirect_stdout(io.StringIO()):
+    with console(spark):
         write(repo, {"b.txt": "zorblat\n"})
         out = [("scan blocked, no record", cli.main(["attest", repo, *catalog]) if not os.path.exists(f"{repo}/.hushgrid/attestation.json") else -1)]
         os.unlink(f"{repo}/b.txt")
