@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from hushgrid.llm.words import BLANK, KEPT, slices, spans, split_words, tidy
 
 #: Distinct words that a worker keeps the ids of (about 170 bytes each), in two halves: when the younger is full, the older is given up, but for words met again.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 #: Bytes of text encoded at once, and bytes after which free memory goes back to the machine.
-SLICE, TIDY = 8 << 20, 64 << 20
+SLICE, TIDY = 4 << 20, 32 << 20
 #: Words given to the tokenizer as one text.
 JOINED = 2000
 PROBES = ("Two  words,\tÉté déjà vu: it's 42%!\n\nthe end…  áb ́c ﬁn x\u0085y ΑΣ ", " a\x1fb \x1f  c'd 'S ' \r\n.. \x1f. 日本 语\x0bé", "J̌ İ. i̇ K. ß ẞ! ‍  x ﷺ 🙂🙂 ﻿")
