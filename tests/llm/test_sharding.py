@@ -42,3 +42,28 @@ def test_empty_clashing_and_written(spark, empty, clashing, rows, tmp_path):
     assert sharding.shards(clashing, limit=3000).count() == len(rows)
     sharding.write_shards(clashing.drop("shard"), f"file://{tmp_path}/s", limit=3000)
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(rows)
+
+
+def test_rows_of_a_shuffle_keep_their_shards(spark, docs, rows, tmp_path):
+    """The rows' numbers are written once: rows that come out in another order when they are read again are neither lost nor moved."""
+    from pyspark.sql import functions as F
+
+    mixed = docs.withColumn("shard", F.lit("own")).repartition(5, F.rand()).withColumn("_nth", F.lit("x"))
+    sharding.write_shards(mixed, f"file://{tmp_path}/m", limit=3000)
+    got = spark.read.parquet(f"file://{tmp_path}/m")
+    assert got.drop("shard").exceptAll(mixed.drop("shard")).count() == 0 and got.count() == len(rows)
+    sizes = got.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"), F.count("*").alias("n"))
+    assert sizes.where("bytes > 3000 and n > 1").count() == 0
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from hushgrid.llm import runtime
+
+    none = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: none, master=master), conf=none)
+    assert runtime.shared_dir(session("local[4]")).startswith("file:") and runtime.shared_dir(session("local"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            runtime.shared_dir(session(master))

@@ -38,6 +38,31 @@ def test_against_brute_force(docs, rows, shingle, k):
     assert got == brute_components(pairs, k)
 
 
+def test_large_groups_are_searched_by_bands(monkeypatch):
+    """Grouped by bands or not, the same fingerprints hang together: dense clusters, chains, and many that don't link."""
+    rng = random.Random(4)
+    for k in (1, 2, 5):
+        fps = {rng.getrandbits(64) & ~0xFFFFF for _ in range(150)}
+        for _ in range(4):
+            centre = rng.getrandbits(64) & ~0xFFFFF
+            fps |= {centre ^ sum(1 << b for b in rng.sample(range(20, 64), rng.randrange(1, 4))) for _ in range(80)}
+        fps = np.array(sorted(fps), dtype=np.uint64)
+        keys = np.zeros(len(fps), dtype=np.uint64)
+        i, j = np.where(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= k)
+        want = simhash.forest(len(fps), i, j)
+        for large in (2048, 60, 5):
+            monkeypatch.setattr(simhash, "LARGE", large)
+            a, b = simhash.linked(keys, fps, k)
+            got = simhash.forest(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b))
+            assert np.array_equal(got, want)
+
+
+def test_too_few_parts_are_said_so(spark):
+    df = spark.createDataFrame([(i * 977,) for i in range(50)], "fp long")
+    with pytest.raises(ValueError, match="parts"):
+        simhash.choose(df, 30, 2)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_links_of_made_up_fingerprints(spark, k):
     """Clusters, chains and a dense group larger than the groups compared pair by pair."""

@@ -71,3 +71,8 @@ def test_empty_and_clashing(spark, empty, clashing, rows, tmp_path):
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
     tokenio.write(clashing, path, PATH)
     assert tokenio.read(spark, path).count() == len(rows)
+
+
+def test_files_count_by_their_numbers(spark):
+    found = spark.createDataFrame([("part-100000-x.txt", 3, 0, 5), ("part-99999-x.txt", 2, 0, 7), ("part-00001-x.txt", 1, 0, 11)], "file string, doc_id long, start long, n_tokens long")
+    assert {r.doc_id: r.start for r in tokenio.with_global_starts(found).collect()} == {1: 0, 2: 11, 3: 18}
