@@ -120,7 +120,7 @@ def _report(units, skips, catalogs, findings, suppressions, redactor, began, vis
 def for_document(findings: DataFrame, n: int, redactor: Redactor, table: str | None) -> tuple[list[dict], str | None]:
     """The n findings for a document; or none and the path of the table that holds them all."""
     if n <= MOST_IN_DOCUMENT:
-        return [r.asDict() for r in counts.numbered(findings).collect()], None
+        return [r.asDict() | {"id": f"f-{i:04d}"} for i, r in enumerate(findings.orderBy(*counts.BY_PLACE).collect(), 1)], None
     path = table or f"hushgrid-findings-{uuid.uuid4().hex}"
     write_findings(findings, path, redactor)
     return [], path
