@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgrid.llm.exchange import SENT, answers, dealt_by, reduced, send, unpack, unsqueeze
+from hushgrid.llm.exchange import SENT, answers, dealt_by, reduced, send, unpack, unsqueeze, width
 from hushgrid.llm.runtime import chunk_count, ready
 from hushgrid.llm.words import as_strings, docs_of, grouped, mix, tidy, window_starts, windows, word_hashes
 
@@ -76,7 +76,7 @@ class Chunk:
         return np.bincount(self.doc, weights=score, minlength=n_docs).astype(float), np.bincount(self.doc[missed], minlength=n_docs)
 
 
-def _total(group, n, columns, _chunks):
+def _total(group, n, columns):
     return np.bincount(group, weights=columns[0], minlength=n).astype(np.int64)[group]
 
 
@@ -88,9 +88,11 @@ def _dealt(docs: DataFrame) -> tuple:
 
 
 def _counted(dealt, n: int, order: int) -> DataFrame:
+    wide = width(n)
+
     def count(table: pa.Table) -> pa.Table:
         c = Chunk(table, order)
-        return send(table["chunk"][0].as_py(), 2 * n, c.keys, c.counts.astype(np.uint32))
+        return send(table["chunk"][0].as_py(), wide, c.keys, c.counts.astype(np.uint32))
 
     return dealt.applyInArrow(count, SENT)
 
@@ -122,7 +124,7 @@ def scores(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER) -> Dat
         tidy()
         return pa.Table.from_arrays([table["doc_id"], pa.array(n_words), pa.array(score), pa.array(missed)], names=["doc_id", "n_words", "score", "n_backed_off"])
 
-    back = dealt_by(reduced(_counted(dealt, n, order), 2 * n, ["u8", "u4"], _total), "chunk", n, "task")
+    back = dealt_by(reduced(_counted(dealt, n, order), n, ["u8", "u4"], _total, "i8"), "chunk", n, "task")
     found = dealt.cogroup(back.groupBy("task", "chunk")).applyInArrow(judge, "doc_id long, n_words long, score double, n_backed_off long")
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushgrid.llm.exchange import SENT, answers, dealt_by, reduced, send
+from hushgrid.llm.exchange import SENT, answers, dealt_by, reduced, send, width
 from hushgrid.llm.runtime import chunk_count, cut, ready, unused
 from hushgrid.llm.words import as_strings, docs_of, grouped, mix, tidy, window_starts, windows, word_hashes
 
@@ -102,13 +102,13 @@ class Chunk:
         return keys[new], check[new], low
 
 
-def _repeated(group, n, columns, _chunks):
+def _repeated(group, n, columns):
     count = np.bincount(group, minlength=n) > 1
     count |= np.bincount(group, weights=columns[0], minlength=n) > 0
     return count[group].astype(np.uint8)
 
 
-def _lowest(group, n, columns, _chunks):
+def _lowest(group, n, columns):
     low = np.full(n, LAST)
     np.minimum.at(low, group, columns[1])
     return low[group]
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rejoin: bool = True) -
     ready(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
     n, (chunk, task) = chunk_count(docs), unused(docs, "_chunk", "_task")
-    lengths = levels(window)
+    wide, lengths = width(n), levels(window)
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(n)).cast("int")
     dealt = dealt_by(docs.withColumn(chunk, key), chunk, n, task).groupBy(task, chunk)
 
@@ -153,9 +153,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rejoin: bool = True) -
 
         def second(table: pa.Table, got: pa.Table | None) -> pa.Table:
             if not table.num_rows:
-                return send(0, 2 * n, np.zeros(0, dtype=np.uint64))
+                return send(0, wide, np.zeros(0, dtype=np.uint64))
             c = reached(table, got, level)
-            return send(table[chunk][0].as_py(), 2 * n, *(c.full() if level == len(lengths) - 1 else c.anchors(lengths[level])))
+            return send(table[chunk][0].as_py(), wide, *(c.full() if level == len(lengths) - 1 else c.anchors(lengths[level])))
 
         return second if level else first
 
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rejoin: bool = True) -
     for i in range(len(lengths)):
         sent = (dealt.applyInArrow(ask(i), SENT) if known is None else dealt.cogroup(known.groupBy("task", "chunk")).applyInArrow(ask(i), SENT))
         last = i == len(lengths) - 1
-        got = reduced(sent, 2 * n, ["u8", "u4", "i8"] if last else ["u8", "u1"], _lowest if last else _repeated, checked=last)
+        got = reduced(sent, n, *((["u8", "u4", "i8"], _lowest, "i8") if last else (["u8", "u1"], _repeated, "u1")), checked=last)
         got = dealt_by(got.withColumn("level", F.lit(i)), "chunk", n, "task")
         known = got if known is None else dealt_by(known.unionByName(got), "chunk", n, "task")
     return dealt.cogroup(known.groupBy("task", "chunk")).applyInArrow(finish, schema)
@@ -203,6 +203,7 @@ def longest(docs: DataFrame, first: int = WINDOW) -> DataFrame:
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = chunk_count(docs)
+    wide = width(n)
     placed = cut(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")))
     dealt = dealt_by(placed, "chunk", n, "task").groupBy("task", "chunk")
     mark = "chunk int, level int, bucket int, data binary, doc_ids array<long>"
@@ -222,8 +223,8 @@ def longest(docs: DataFrame, first: int = WINDOW) -> DataFrame:
 
         def ask(table: pa.Table, got: pa.Table | None = None, length=length) -> pa.Table:
             if not table.num_rows:
-                return send(0, 2 * n, np.zeros(0, dtype=np.uint64))
-            return send(table["chunk"][0].as_py(), 2 * n, *chunk_at(table, got, length).anchors(length))
+                return send(0, wide, np.zeros(0, dtype=np.uint64))
+            return send(table["chunk"][0].as_py(), wide, *chunk_at(table, got, length).anchors(length))
 
         def survivors(table: pa.Table, got: pa.Table, length=length, later=marks is not None) -> pa.Table:
             c = chunk_at(table, got if later else None, length) if table.num_rows else None
@@ -238,7 +239,7 @@ def longest(docs: DataFrame, first: int = WINDOW) -> DataFrame:
             return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "level": pa.array([-1], pa.int32()), "bucket": pa.array([0], pa.int32()), "data": pa.array([np.packbits(bits).tobytes()], pa.binary()), "doc_ids": pa.array([ids], pa.list_(pa.int64()))})
 
         sent = dealt.applyInArrow(lambda t: ask(t), SENT) if marks is None else dealt.cogroup(dealt_by(marks, "chunk", n, "task").groupBy("task", "chunk")).applyInArrow(lambda t, g: ask(t, g), SENT)
-        got = reduced(sent, 2 * n, ["u8", "u1"], _repeated).select("chunk", F.lit(0).alias("level"), "bucket", "data", F.lit(None).cast("array<long>").alias("doc_ids"))
+        got = reduced(sent, n, ["u8", "u1"], _repeated, "u1").select("chunk", F.lit(0).alias("level"), "bucket", "data", F.lit(None).cast("array<long>").alias("doc_ids"))
         got = got if marks is None else got.unionByName(marks)
         now = cut(dealt.cogroup(dealt_by(got, "chunk", n, "task").groupBy("task", "chunk")).applyInArrow(lambda t, g: survivors(t, g), mark))
         if now.isEmpty():

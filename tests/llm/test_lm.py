@@ -55,6 +55,17 @@ def test_against_sql(spark, sf_dir, order):
     assert lm.sql() == lm.OP10_SQL and "op10" in lm.op10.__name__
 
 
+def test_by_way_of_relays(docs, rows, monkeypatch):
+    from hushgrid.llm import exchange
+
+    monkeypatch.setattr(exchange, "DIRECT", 1)
+    for n in (1, 2, 7, 4096):
+        monkeypatch.setattr(lm, "chunk_count", lambda df, n=n: n)
+        assert exchange.width(n) < 2 * n or n == 1
+        if n < 10:
+            assert got(lm.scores(docs, order=3)) == brute(rows, order=3)
+
+
 def test_count_table(docs, rows):
     want = Counter()
     for _, t, *_ in rows:

@@ -58,6 +58,31 @@ def test_few_tasks_for_many_chunks(docs, rows, monkeypatch):
     assert got(substring_dedup.remove_repeats(docs, 13)) == brute(rows, 13)
 
 
+def test_by_way_of_relays(spark, docs, rows, monkeypatch):
+    """The result is the same where keys go by way of relays, for any number of chunks."""
+    from hushgrid.llm import exchange
+
+    want = {r.doc_id: r.words for r in substring_dedup.longest(docs).collect()}
+    monkeypatch.setattr(exchange, "DIRECT", 1)
+    for n in (2, 7, 23):
+        monkeypatch.setattr(substring_dedup, "chunk_count", lambda df, n=n: n)
+        assert got(substring_dedup.remove_repeats(docs, 13)) == brute(rows, 13)
+    monkeypatch.setattr(substring_dedup, "chunk_count", lambda df: 5)
+    assert {r.doc_id: r.words for r in substring_dedup.longest(docs).collect()} == want
+
+
+def test_relays_make_few_rows():
+    """At 100 TB (8 million chunks) a chunk sends to thousands of places, and a relay holds about as many keys as a chunk."""
+    from hushgrid.llm import exchange
+
+    n = 8_000_000
+    wide = exchange.width(n)
+    assert wide == 4000 and exchange.width(exchange.DIRECT) == 2 * exchange.DIRECT
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
+    fine = exchange.bucket_of(keys, wide * -(-2 * n // wide))
+    assert (fine // -(-2 * n // wide) == exchange.bucket_of(keys, wide)).all()
+
+
 def test_levels_double():
     assert [substring_dedup.levels(w) for w in (1, 4, 5, 13, 16, 26)] == [[1], [4], [4, 5], [4, 8, 13], [4, 8, 16], [4, 8, 16, 26]]
 
