@@ -20,7 +20,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose sets of five-word shingles have an exact Jaccard similarity of at least 0.8, with others between them or at once."""
+    """One document of each group of near copies: texts whose sets of five-word shingles have an exact Jaccard similarity of at least 0.8, with others between them or at once. SimHash fingerprints, searched by the generalised pigeonhole, propose; the sets decide."""
     return neardup.keep_one(docs, shingle=5, least=0.8)
 
 

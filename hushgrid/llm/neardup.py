@@ -1,13 +1,19 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-MinHash proposes and the sets decide. Each distinct set of shingles is one node, however
-many documents have it. A node sends BANDS keys of ROWS minima each; nodes that share a key
-and whose sketches (two bits of each minimum) differ in at most DIFFER places are
-candidates. Two sets of similarity 0.8 become candidates with a chance of over 0.999, more similar ones
-sooner. Candidates that hang together are a heap; the shingles of a heap's nodes
-are brought together and each link is made by the exact similarity, hashes of 64 bits standing for
-shingles. A heap of more shingles than HEAP is dealt into pieces, and any two pieces meet in a task of
-their own, so that no task holds more than two pieces and no pair is left out.
+SimHash proposes, by simhash's generalised pigeonhole, and the sets decide. Each distinct set of shingles is one node,
+however many documents have it. A node has WORDS fingerprints of 64 bits, each of hashes of its own: a bit is 1 if
+over half of what the set's shingles hash to has it. A shingle has two hashes in each, so that few shingles vote in
+finer steps. Each fingerprint's bits are grouped, those that go together in one part, and the parts' thresholds for a
+distance of NEAR bits are found by dynamic programming, from counts over a sample of about SAMPLE nodes (they steer
+cost; two nodes within NEAR bits in any fingerprint meet, whatever they are). All nodes are probed; those that agree in
+some part but for its threshold are candidates if the first MARK bits of all they have differ in at most DIFFER
+places. A bit differs for two sets of similarity 0.8 with a chance of 0.15, so with parts of 16 bits they become
+candidates with a chance of over 0.999, more similar ones sooner. The first FIRST fingerprints are probed before the
+others, and a node goes by the lowest name that it was linked with from then on, so that a large group doesn't send its
+links again and again. Candidates that hang together are a heap; the shingles of a heap's nodes are brought together and each
+link is made by the exact similarity, hashes of 64 bits standing for shingles. A heap of more shingles than HEAP is
+dealt into pieces, and any two pieces meet in a task of their own, so that no task holds more than two pieces and no
+pair of a heap is left out.
 
 Defined cases: null texts and those without words are copies of each other; a text of fewer words
 than a shingle is one shingle; case is that of A-Z; the rest is as in simhash.
@@ -22,23 +28,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushgrid.llm import simhash
 from hushgrid.llm.components import components
-from hushgrid.llm.exchange import SENT, SENT_ARROW, bucket_of, by_bucket, dealt_by, unpack
+from hushgrid.llm.exchange import SENT, SENT_ARROW, by_bucket, dealt_by, unpack
 from hushgrid.llm.runtime import cut, partitions, ready
-from hushgrid.llm.simhash import BUCKET, SMALL, forest, grouped, kept, row_key, text_hash
+from hushgrid.llm.simhash import BITS, BUCKET, PARTS, forest, grouped, kept, row_key, text_hash
 from hushgrid.llm.words import BASE, as_strings, lowered, mix, slices, tidy, windows, word_hashes
 
-BANDS, ROWS = 16, 4
-#: Of the 64 minima's sketches so many may differ: at a similarity of 0.8 they differ in 10 on average, with a deviation of 3.
-DIFFER = 23
+#: Fingerprints of a node, and the distance for which each is probed.
+WORDS, NEAR = 32, 3
+#: Keys of a node where each fingerprint is probed by four equal parts.
+BANDS = WORDS * (NEAR + 1)
+#: Of the first MARK bits so many may differ: at a similarity of 0.8 they differ in 24 on average, with a deviation of 4.5, unrelated ones in 80 with 6.3.
+MARK, DIFFER = 160, 43
+#: Fingerprints that are probed before the others.
+FIRST = 4
+#: Nodes whose bits are counted to group them, about.
+SAMPLE = 8_000
+#: What a key that is sent costs, in pairs that are compared.
+DEAR = 64
+#: Nodes that meet in larger groups are searched instead of compared pair by pair.
+SMALL = 512
 #: Shingles of a heap that a task holds at once, about.
 HEAP = 2_000_000
-#: Shingles whose minima are taken at once.
-BLOCK = 1 << 14
+#: Shingles whose bits are counted at once: as many as a byte can count.
+BLOCK = 255
 _RNG = np.random.default_rng(42)
-_FLIP, _TIMES = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_FLIP, _TIMES = _RNG.integers(0, 1 << 64, (2, WORDS), dtype=np.uint64)
 _TIMES = _TIMES | np.uint64(1)
-_PAIRS = np.uint64(0x5555555555555555)
+_LOWEST = np.uint64(0x0101010101010101)
+#: (number of the fingerprint, mask) of four equal parts.
+EVEN = [(w, 0xFFFF << 16 * i) for w in range(WORDS) for i in range(NEAR + 1)]
 
 
 def shingle_sets(texts: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
@@ -53,21 +73,40 @@ def shingle_sets(texts: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
     tidy()
 
 
-def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's keys, one a band, and its sketch in two words."""
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
+def fingerprints(own: np.ndarray) -> np.ndarray:
+    """A set's fingerprints: a bit is 1 if over half the shingles' hashes have it, two hashes a shingle."""
+    own = np.concatenate((own, mix(own)))
+    ones = np.zeros((WORDS, BITS), dtype=np.int64)
     for at in range(0, len(own), BLOCK):
-        low = np.minimum(low, ((own[at : at + BLOCK] ^ _FLIP) * _TIMES).min(axis=1))
-    keys = np.zeros(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        keys = mix(keys * np.uint64(BASE) + column)
-    keys = mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(BASE))
-    bits = (low >> np.uint64(16) & np.uint64(3)).reshape(2, -1)
-    return keys, (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        h = (own[at : at + BLOCK, None] ^ _FLIP) * _TIMES
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(BASE)
+        h ^= h >> np.uint64(29)
+        for bit in range(8):  # each byte of a sum counts one bit
+            ones[:, bit::8] += ((h >> np.uint64(bit)) & _LOWEST).sum(axis=0).astype("<u8").view(np.uint8).reshape(WORDS, 8)
+    return np.packbits(2 * ones > len(own), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def keys_of(words: np.ndarray, probes: list[tuple[int, int]], at: int = 0) -> np.ndarray:
+    """The keys of nodes (rows of fingerprints) by probes of which the first is number ``at``: a row a probe, 32 bits a key."""
+    return np.stack([(mix((words[:, w] & np.uint64(mask)) + np.uint64((i + 1) * BASE % (1 << 64))) >> np.uint64(32)).astype(np.uint32) for i, (w, mask) in enumerate(probes, at)])
+
+
+def marks_of(words: np.ndarray) -> np.ndarray:
+    """The first MARK bits of each node, in words."""
+    out = words[..., : -(-MARK // BITS)].copy()
+    out[..., -1] &= np.uint64((1 << (MARK - 1) % BITS + 1) - 1)
+    return out
+
+
+def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's keys by four equal parts of each fingerprint, and its marks."""
+    words = fingerprints(own)
+    return keys_of(words[None], EVEN)[:, 0], marks_of(words)
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, a hash of the text, its node (fp), the number of its shingles, its keys and its sketch."""
+    """doc_id, a hash of the text, its node (fp), the number of its shingles and its fingerprints."""
     ready(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("fp", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
@@ -77,7 +116,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
             for own in shingle_sets(batch["text"], shingle):
                 fps.append(int(mix(mix(own).sum(dtype=np.uint64, keepdims=True))[0]) if len(own) else 0)
                 sizes.append(len(own))
-                data.append(b"".join(x.tobytes() for x in sketch(own)) if len(own) else b"")
+                data.append(fingerprints(own).tobytes() if len(own) else b"")
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", text_hash(F.col("text")))
@@ -85,13 +124,12 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many places the sketches (a row each) differ."""
-    x = a ^ b
-    return np.bitwise_count((x | x >> np.uint64(1)) & _PAIRS).sum(axis=-1)
+    """In how many places the marks (a row each) differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def met(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes that share a key and are near by their sketches: (node, smallest one it hangs together with here) as a forest."""
+    """Nodes that share a key and are near by their marks: (node, smallest one it hangs together with here) as a forest."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
@@ -126,28 +164,60 @@ def met(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray) -> tuple[np.ndar
     return names[moved], names[label[moved]]
 
 
+def choose(words: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(number of the fingerprint, mask to probe): all probes of n nodes, of which words (a row each) are a sample."""
+    out = []
+    for w in range(words.shape[1]):
+        own = np.ascontiguousarray(words[:, w])
+        bits = simhash._bits(own).astype(np.float32)
+        scale = n / max(len(own), 1)
+        both = (bits.T @ bits).astype(np.float64) * scale
+        layouts, pairs = simhash.ways(n, both, NEAR, PARTS), {}
+        for m, groups in layouts.items():
+            for i, group in enumerate(groups):
+                count = np.unique(own & np.uint64(sum(1 << b for b in group)), return_counts=True)[1].astype(np.float64)
+                pairs[m, i] = float((count * (count - 1) / 2).sum()) * scale * scale
+        out += [(w, mask) for _, masks in simhash.cheapest(n, both, layouts, pairs, NEAR, DEAR) for mask in masks]
+    return out
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): edges whose components are the heaps of candidates. nodes: fp, data."""
+    total = nodes.count()
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // SAMPLE))) == 0).select("data").collect()
+    probes = choose(np.frombuffer(b"".join(bytes(r.data) for r in some), dtype="<u8").reshape(-1, WORDS), total)
+    early, late = [p for p in probes if p[0] < FIRST], [p for p in probes if p[0] >= FIRST]
+    found = cut(meetings(nodes, early, total))
+    lower = found.groupBy("a").agg(F.min("b").alias("low"))
+    named = nodes.join(lower, F.col("fp") == F.col("a"), "left").select(F.coalesce("low", "fp").alias("fp"), "data")
+    return found.unionByName(meetings(named, late, total))
+
+
+def meetings(nodes: DataFrame, probes: list[tuple[int, int]], total: int) -> DataFrame:
+    """(a, b): edges that connect the names (fp) of those of the total nodes that agree in a probe and are near by their marks."""
     spark = ready(nodes.sparkSession)
-    n = max(4 * partitions(spark), BANDS * nodes.count() // BUCKET)
+    n = max(2 * partitions(spark), len(probes) * total // BUCKET)
+    kinds = ["u4", "u8", "u8", "u8", "u4"]
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = np.frombuffer(b"".join(batch["data"].to_pylist()), dtype=np.uint64).reshape(-1, BANDS + 2)
-            keys = all_[:, :BANDS].T.ravel()
-            columns = [np.tile(c, BANDS) for c in (batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64), all_[:, BANDS], all_[:, BANDS + 1])]
-            order = np.argsort(keys)
-            columns = [c[order] for c in (keys, *columns)]
-            edges = np.searchsorted(bucket_of(columns[0], n), np.arange(n + 1))
-            full = np.flatnonzero(np.diff(edges))
-            data = [b"".join(c[edges[b] : edges[b + 1]].tobytes() for c in columns) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), dtype=np.int32)), pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], schema=SENT_ARROW)
+            words = np.frombuffer(b"".join(batch["data"].to_pylist()), dtype="<u8").reshape(-1, WORDS)
+            fps, marks = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64), marks_of(words)
+            for at in range(0, len(probes), BANDS):
+                keys = keys_of(words, probes[at : at + BANDS], at)
+                order = np.argsort(keys, axis=None)
+                keys, node = keys.ravel()[order], order % len(words)
+                edges = np.searchsorted(keys.astype(np.uint64) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edges))
+                columns = [c.astype(t, copy=False) for c, t in zip((keys, fps[node], *marks[node].T), kinds, strict=True)]
+                data = [b"".join(c[edges[b] : edges[b + 1]].tobytes() for c in columns) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), dtype=np.int32)), pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], schema=SENT_ARROW)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
-            keys, own, one, two = (np.concatenate(c) for c in zip(*(unpack(d, ["u8"] * 4) for d in rows), strict=True))
-            x, y = met(keys, own, np.stack([one, two], axis=1))
+            keys, own, *marks = (np.concatenate(c) for c in zip(*(unpack(d, kinds) for d in rows), strict=True))
+            x, y = met(keys, own, np.stack([m.astype(np.uint64) for m in marks], axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], schema=edge)
         tidy()
 

@@ -152,18 +152,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def ways(n: int, both: np.ndarray, k: int, parts: int = PARTS) -> dict[int, list[list[int]]]:
+    """The bits grouped into 2, 3, ... parts."""
+    return {m: group_bits(n, both, m) for m in range(2 if k else 1, min(k + 1, parts) + 1)}
+
+
 def choose(fps: DataFrame, k: int, parts: int = PARTS) -> list[tuple[int, list[int]]]:
     """(mask of the part, masks to probe) of each probed part."""
     n, both = bit_counts(fps)
-    p = np.diag(both) / max(n, 1)
-    differ = 2 * p * (1 - p)
-    layouts = {m: group_bits(n, both, m) for m in range(2 if k else 1, min(k + 1, parts) + 1)}
+    layouts = ways(n, both, k, parts)
     masks = {(m, i): sum(1 << b for b in bits) for m, groups in layouts.items() for i, bits in enumerate(groups)}
     pairs = {key: 0.0 for key in masks}
     keyed = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("v")) for (m, i), x in masks.items()]))
     counted = fps.select(keyed.alias("x")).groupBy("x.m", "x.i", "x.v").count().groupBy("m", "i").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
     for m, i, x in counted.collect():
         pairs[m, i] = x
+    return cheapest(n, both, layouts, pairs, k)
+
+
+def cheapest(n: int, both: np.ndarray, layouts: dict[int, list[list[int]]], pairs: dict[tuple[int, int], float], k: int, dear: float = 1.0) -> list[tuple[int, list[int]]]:
+    """choose() from counts: of n fingerprints, in ``both`` those that have two bits, and in ``pairs`` the pairs that agree in part i of layout m. dear: the cost of a probe in compared pairs."""
+    p = np.diag(both) / max(n, 1)
+    differ = 2 * p * (1 - p)
     found = None
     for m, groups in layouts.items():
         cost = []
@@ -176,7 +186,7 @@ def choose(fps: DataFrame, k: int, parts: int = PARTS) -> list[tuple[int, list[i
                 probes = math.comb(len(bits), t)
                 if probes > 5000:
                     break
-                own[t] = probes * n + (pairs[m, i] + n * n / 2 * 2.0 ** -len(bits)) * sum(odds[: t + 1])
+                own[t] = dear * probes * n + (pairs[m, i] + n * n / 2 * 2.0 ** -len(bits)) * sum(odds[: t + 1])
             cost.append(own)
         try:
             total, ts = thresholds(k, [len(g) for g in groups], cost)
@@ -185,7 +195,7 @@ def choose(fps: DataFrame, k: int, parts: int = PARTS) -> list[tuple[int, list[i
         if found is None or total < found[0]:
             found = (total, [(sum(1 << b for b in g), g, t) for g, t in zip(groups, ts, strict=True) if t >= 0])
     if found is None:
-        raise ValueError(f"{parts} parts are too few for a distance of {k}: a part would need over 5000 probes")
+        raise ValueError(f"{max(layouts)} parts are too few for a distance of {k}: a part would need over 5000 probes")
     return [(whole, [whole & ~sum(1 << b for b in out) for out in itertools.combinations(g, t)]) for whole, g, t in found[1]]
 
 
